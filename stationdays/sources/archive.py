@@ -76,12 +76,13 @@ def member_records(stream: io.TextIOBase, columns: list[str]) -> Iterator[tuple]
     position = {name: i for i, name in enumerate(header)}
     absent = len(header)
     wanted = [position.get(c, absent) for c in columns]
-    pick = itemgetter(*wanted)
+    # (the repeated column keeps the result a tuple when only one is wanted)
+    pick = itemgetter(*wanted, wanted[0])
     padding = [None] * (absent + 1)
     for record in records:
         if record:
             del record[absent:]
-            yield pick(record + padding[len(record):])
+            yield pick(record + padding[len(record):])[:-1]
 
 
 def record_batches(

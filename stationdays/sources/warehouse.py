@@ -45,34 +45,31 @@ def open_observations(
     view: str | None = VIEW,
 ) -> DataFrame:
     """The whole dataset as one DataFrame and one view."""
-    missing = f"no Parquet in {folder}; ingest some years first"
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        observations = reader.parquet(folder)
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem.getCondition()):
-            raise FileNotFoundError(missing) from problem
-        raise
-    if parquet_files(spark, folder).isEmpty():
-        raise FileNotFoundError(missing)
+    files = listed_files(spark, folder)
+    if files is None or files.isEmpty():
+        raise FileNotFoundError(f"no Parquet in {folder}; ingest some years first")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    observations = reader.parquet(folder)
     if view:
         observations.createOrReplaceTempView(view)
     return observations
 
 
-def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(year, path, length) of the dataset's files, from the listing alone."""
-    schema = "year int, path string, length long"
+def listed_files(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The folder's Parquet files as a listing: no file is opened."""
     try:
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-        )
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
     except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem.getCondition()):
-            return spark.createDataFrame([], schema)
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
-    if "year" not in files.columns:
-        return spark.createDataFrame([], schema)
+
+
+def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(year, path, length) of the dataset's files."""
+    files = listed_files(spark, folder)
+    if files is None or "year" not in files.columns:
+        return spark.createDataFrame([], "year int, path string, length long")
     return files.selectExpr("cast(year as int) as year", "path", "length")
 
 
