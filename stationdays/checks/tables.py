@@ -8,8 +8,11 @@ malformed flag strings. Every order is used.
 
 from __future__ import annotations
 
+import csv
 import io
 import tarfile
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -117,11 +120,16 @@ def write_archives(rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PE
         with filesystem.open_output_stream(path, compression=None) as sink, tarfile.open(
             fileobj=sink, mode="w|gz"
         ) as archive:
-            for station, days in records.groupby("STATION"):
-                text = days[columns].to_csv(index=False, quoting=1).encode()
+            days = records.sort_values("STATION")[columns].itertuples(index=False, name=None)
+            for station, lines in groupby(days, key=itemgetter(columns.index("STATION"))):
+                text = io.StringIO()
+                writer = csv.writer(text, quoting=csv.QUOTE_ALL)
+                writer.writerow(columns)
+                writer.writerows(lines)
+                content = text.getvalue().encode()
                 member = tarfile.TarInfo(f"{station}.csv")
-                member.size = len(text)
-                archive.addfile(member, io.BytesIO(text))
+                member.size = len(content)
+                archive.addfile(member, io.BytesIO(content))
         return pd.DataFrame({"path": [path], "rows": [len(records)]})
 
     (

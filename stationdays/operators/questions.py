@@ -65,6 +65,8 @@ def event_counts(
             ),
             "station_days",
         )
+        # one row per flag, made by one task from one row: sort it where it is
+        .coalesce(1)
         .orderBy(F.desc("occurrences"), "event")
     )
 

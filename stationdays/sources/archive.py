@@ -127,17 +127,20 @@ class ArchiveReader(DataSourceReader):
         with filesystem.open_input_file(path) as source, tarfile.open(
             fileobj=source, mode="r:gz"
         ) as archive:
-            members = (m for m in archive if m.isfile() and m.name.endswith(".csv"))
-            for number, member in enumerate(members):
-                if number % partition.slices == partition.slice_number:
-                    text = io.TextIOWrapper(
-                        archive.extractfile(member), encoding="utf-8", errors="replace", newline=""
-                    )
-                    yield from record_batches(
-                        member_records(text, self.columns), schema, partition.year
-                    )
-                # tarfile remembers every member; forget the ones already read
-                archive.members = []
+            yield from record_batches(
+                self.records(archive, partition), schema, partition.year
+            )
+
+    def records(self, archive: tarfile.TarFile, partition: ArchiveSlice) -> Iterator[tuple]:
+        members = (m for m in archive if m.isfile() and m.name.endswith(".csv"))
+        for number, member in enumerate(members):
+            if number % partition.slices == partition.slice_number:
+                text = io.TextIOWrapper(
+                    archive.extractfile(member), encoding="utf-8", errors="replace", newline=""
+                )
+                yield from member_records(text, self.columns)
+            # tarfile remembers every member; forget the ones already read
+            archive.members = []
 
 
 class StationArchives(DataSource):

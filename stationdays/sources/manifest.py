@@ -26,7 +26,8 @@ MISSING_NOTE = (
 def streamed_sha256(uri: str) -> str:
     digest = hashlib.sha256()
     filesystem, path = filesystem_and_path(uri)
-    with filesystem.open_input_stream(path) as stream:
+    # the bytes as stored: by default a .gz would be inflated
+    with filesystem.open_input_stream(path, compression=None) as stream:
         while block := stream.read(HASH_CHUNK):
             digest.update(block)
     return digest.hexdigest()

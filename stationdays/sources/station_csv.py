@@ -62,12 +62,14 @@ def read_station_csv(
     year_pattern: str = r"(\d{4})/[^/]*$",
     columns: list[str] = RAW_COLUMNS,
     glob: str = "*.csv",
+    line_breaks_in_fields: bool = False,
 ) -> DataFrame:
     """Raw text rows of all CSV files below a folder, bound by header name.
 
     Short records are padded with NULL, bytes that are not UTF-8 are replaced,
     quoted commas stay inside their field. The year is the given one, or what
-    `year_pattern` finds in the file's path (its folder by default).
+    `year_pattern` finds in the file's path (its folder by default). Large files
+    are split over tasks, unless quoted fields may hold line breaks.
     """
     headers = file_headers(spark, folder, glob)
     distinct = headers.where("header <> ''").groupBy("header").agg(F.count("*").alias("files"))
@@ -85,6 +87,7 @@ def read_station_csv(
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
         .option("mode", "PERMISSIVE")
+        .option("multiLine", line_breaks_in_fields)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')

@@ -19,17 +19,21 @@ def write_observations(
     partition: str = "year",
     cluster: tuple[str, ...] = ("station", "date"),
     compression: str = "zstd",
+    rebalance: bool = True,
 ) -> None:
     """Replace the partitions present in `observations`, leave the others alone.
 
-    Rows are rebalanced by partition value: adaptive execution then splits a
-    large year over as many tasks as its size asks for and packs small ones
-    together. Inside a file rows are ordered by station and date, which keeps
-    names and positions in long runs and makes row-group statistics selective.
+    With `rebalance` rows are shuffled by partition value, and adaptive execution
+    splits a large year over as many tasks as its size asks for: right for rows
+    whose tasks each hold many years. Without it nothing is shuffled and every
+    task writes what it read: right for archives, whose tasks hold one year each.
+    Inside a file rows are ordered by station and date, which keeps names and
+    positions in long runs and makes row-group statistics selective.
     """
+    if rebalance:
+        observations = observations.hint("rebalance", partition)
     (
-        observations.hint("rebalance", partition)
-        .sortWithinPartitions(partition, *cluster)
+        observations.sortWithinPartitions(partition, *cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
