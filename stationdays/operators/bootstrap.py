@@ -5,7 +5,7 @@ present in every year, is the composition effect. Its interval comes from drawin
 stations (not station-days) with replacement and recomputing both changes, and
 their ratio, from the same draw.
 
-Raw rows are read once, into station-year partials that are then kept reliably.
+Raw rows are read once, into one history per station that is then kept reliably.
 The n draws of one replicate are made in either of two ways:
 
 "blocks"  Stations are split by hash into blocks. How many of the n draws fall
@@ -35,15 +35,16 @@ from stationdays.session import cut_lineage
 from stationdays.sources.files import ship_by_value
 
 CONFIDENCE = (0.025, 0.975)
-STATIONS_PER_BLOCK = 1024
+STATIONS_PER_BLOCK = 2048
 MOST_BLOCK_BITS = 16
 INDEX_BUCKET_DIGITS = 3
 BROADCAST_STATIONS = 1_000_000
 DRAWS_PER_TASK = 4_000_000
-CELLS_PER_STEP = 1 << 21
+CELLS_PER_STEP = 1 << 20
 
 ENDS = ["t0", "n0", "t1", "n1"]
 PANEL_ENDS = ["bt0", "bn0", "bt1", "bn1"]
+SUMS = [f"sum({c}) AS {c}" for c in ENDS + PANEL_ENDS]
 
 
 # ------------------------------------------------------------------ stations
@@ -51,12 +52,19 @@ PANEL_ENDS = ["bt0", "bn0", "bt1", "bn1"]
 
 @dataclass(frozen=True)
 class Network:
-    """One row per station: sum and count in the first and the last year."""
+    """One row per station: sum and count in the first and the last year.
+
+    Columns: station, prefix (the leading 16 bits of its hash), t0, n0, t1, n1,
+    balanced, and bt0 ... bn1, the same for members of the panel and 0 for others.
+    """
 
     stations: DataFrame
-    n_stations: int
-    first_year: int | None
-    last_year: int | None
+    years: list[int]
+    stations_by_prefix: np.ndarray
+
+    @property
+    def n_stations(self) -> int:
+        return int(self.stations_by_prefix.sum())
 
 
 def station_network(
@@ -67,27 +75,50 @@ def station_network(
 ) -> Network:
     """First and last are the earliest and latest year with any value; a station is
     balanced when it has a value in each of the years having any."""
-    partials = cut_lineage(
-        station_year_partials(observations, station, year, value).where("station is not null")
+    histories = (
+        station_year_partials(observations, station, year, value)
+        .where("station IS NOT NULL AND year IS NOT NULL")
+        .groupBy("station")
+        # a station's history has one entry per year, however many rows it has
+        .agg(F.expr("map_from_entries(collect_list(struct(year, struct(total, n)))) AS by_year"))
+        .selectExpr(
+            "station",
+            "CAST(conv(substr(md5(CAST(station AS STRING)), 1, 4), 16, 10) AS INT) AS prefix",
+            "by_year",
+        )
+    )
+    histories = cut_lineage(histories)
+
+    # one row per hash prefix (at most 65536) and one per year
+    found = (
+        histories.selectExpr(
+            "inline(concat("
+            " array(named_struct('kind', 'prefix', 'number', CAST(prefix AS LONG))),"
+            " transform(map_keys(by_year),"
+            "  y -> named_struct('kind', 'year', 'number', CAST(y AS LONG)))))"
+        )
+        .groupBy("kind", "number")
+        .count()
+        .collect()
     )
-    facts = partials.agg(
-        F.min("year").alias("first"),
-        F.max("year").alias("last"),
-        F.countDistinct("year").alias("years"),
-        F.countDistinct("station").alias("stations"),
-    ).first()
-
-    def at(which: int | None, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("year") == which, F.col(column))), F.lit(0))
-
-    stations = partials.groupBy("station").agg(
-        at(facts["first"], "total").cast("double").alias("t0"),
-        at(facts["first"], "n").alias("n0"),
-        at(facts["last"], "total").cast("double").alias("t1"),
-        at(facts["last"], "n").alias("n1"),
-        (F.count("year") == facts["years"]).alias("balanced"),
+    years = sorted(row["number"] for row in found if row["kind"] == "year")
+    by_prefix = np.zeros(1 << MOST_BLOCK_BITS, dtype=np.int64)
+    for row in found:
+        if row["kind"] == "prefix":
+            by_prefix[row["number"]] = row["count"]
+
+    first, last = (years[0], years[-1]) if years else (0, 0)
+    stations = histories.selectExpr(
+        "station",
+        "prefix",
+        f"coalesce(by_year[{first}].total, 0D) AS t0",
+        f"coalesce(by_year[{first}].n, 0L) AS n0",
+        f"coalesce(by_year[{last}].total, 0D) AS t1",
+        f"coalesce(by_year[{last}].n, 0L) AS n1",
+        f"size(by_year) = {len(years)} AS balanced",
+        *[f"if(balanced, {end}, 0) AS {panel}" for panel, end in zip(PANEL_ENDS, ENDS)],
     )
-    return Network(stations, facts["stations"], facts["first"], facts["last"])
+    return Network(stations, years, by_prefix)
 
 
 def dense_index(frame: DataFrame, key: str) -> DataFrame:
@@ -119,47 +150,33 @@ def dense_index(frame: DataFrame, key: str) -> DataFrame:
 # --------------------------------------------------------- point and replicates
 
 
-def weighted_change(t0: Column, n0: Column, t1: Column, n1: Column) -> Column:
+def weighted_change(t0: str, n0: str, t1: str, n1: str) -> str:
     """Row-weighted mean of the last year less that of the first; NULL without rows."""
-    return F.try_divide(t1, n1) - F.try_divide(t0, n0)
+    return f"try_divide({t1}, {n1}) - try_divide({t0}, {n0})"
 
 
-def _with_effect(sums: DataFrame) -> DataFrame:
-    """Sums of both panels -> naive, balanced, effect, share."""
-    return (
-        sums.withColumn("naive", weighted_change(*[F.col(c) for c in ENDS]))
-        .withColumn("balanced", weighted_change(*[F.col(c) for c in PANEL_ENDS]))
-        .withColumn("effect", F.col("naive") - F.col("balanced"))
-        .withColumn("share", F.try_divide("effect", "naive"))
-    )
-
-
-def _both_panels(stations: DataFrame) -> DataFrame:
-    zero = F.lit(0)
-    return stations.withColumns(
-        {
-            panel: F.when(F.col("balanced"), F.col(end)).otherwise(zero)
-            for panel, end in zip(PANEL_ENDS, ENDS)
-        }
-    )
+EFFECT = [
+    f"{weighted_change(*ENDS)} AS naive",
+    f"{weighted_change(*PANEL_ENDS)} AS balanced",
+    "naive - balanced AS effect",
+    "try_divide(effect, naive) AS share",
+]
 
 
 def point_estimate(network: Network) -> DataFrame:
     """One row: both changes, their difference and its share of the naive change."""
-    sums = _both_panels(network.stations).agg(
-        *[F.sum(c).alias(c) for c in ENDS + PANEL_ENDS],
-        F.count("*").alias("n_stations"),
-        F.count_if("balanced").alias("n_stations_balanced"),
-    )
-    return _with_effect(sums).select(
-        F.col("naive").alias("naive_change"),
-        F.col("balanced").alias("balanced_change"),
-        "effect",
-        F.col("share").alias("share_of_naive"),
+    first, last = (network.years[0], network.years[-1]) if network.years else ("NULL", "NULL")
+    return network.stations.selectExpr(
+        *SUMS, "count(*) AS n_stations", "count_if(balanced) AS n_stations_balanced"
+    ).selectExpr(
+        f"{weighted_change(*ENDS)} AS naive_change",
+        f"{weighted_change(*PANEL_ENDS)} AS balanced_change",
+        "naive_change - balanced_change AS effect",
+        "try_divide(effect, naive_change) AS share_of_naive",
         "n_stations",
         "n_stations_balanced",
-        F.lit(network.first_year).cast("int").alias("first_year"),
-        F.lit(network.last_year).cast("int").alias("last_year"),
+        f"CAST({first} AS INT) AS first_year",
+        f"CAST({last} AS INT) AS last_year",
     )
 
 
@@ -168,24 +185,24 @@ def bootstrap_draws(
 ) -> DataFrame:
     """(replicate, naive, balanced, effect, share); undefined replicates have NULLs."""
     sums = {"blocks": _block_sums, "slots": _slot_sums}[method](network, resamples, seed)
-    return _with_effect(sums).select("replicate", "naive", "balanced", "effect", "share")
+    return sums.selectExpr("replicate", *EFFECT)
 
 
 def interval(draws: DataFrame) -> DataFrame:
     """Percentile interval of effect and share, over the replicates that are defined."""
-    ends = F.array(*[F.lit(p) for p in CONFIDENCE])
+    ends = ", ".join(f"{p}D" for p in CONFIDENCE)
     return (
-        draws.where("effect is not null")
-        .agg(
-            F.percentile("effect", ends).alias("_effect"),
-            F.percentile("share", ends).alias("_share"),
-            F.count("*").alias("n_resamples"),
+        draws.where("effect IS NOT NULL")
+        .selectExpr(
+            f"percentile(effect, array({ends})) AS effects",
+            f"percentile(share, array({ends})) AS shares",
+            "count(*) AS n_resamples",
         )
-        .select(
-            F.get("_effect", F.lit(0)).alias("ci_lower"),
-            F.get("_effect", F.lit(1)).alias("ci_upper"),
-            F.get("_share", F.lit(0)).alias("share_ci_lower"),
-            F.get("_share", F.lit(1)).alias("share_ci_upper"),
+        .selectExpr(
+            "effects[0] AS ci_lower",
+            "effects[1] AS ci_upper",
+            "shares[0] AS share_ci_lower",
+            "shares[1] AS share_ci_upper",
             "n_resamples",
         )
     )
@@ -203,39 +220,31 @@ def composition_effect(
     """One row: point estimate, 95 % intervals, counts, whether zero is excluded."""
     network = station_network(observations, station, year, value)
     bounds = interval(bootstrap_draws(network, resamples, seed, method))
-    found = bounds.select(F.struct(*bounds.columns).alias("found")).scalar()
+    found = bounds.selectExpr(f"struct({', '.join(bounds.columns)}) AS found").scalar()
     return (
         point_estimate(network)
-        .withColumn("_found", found)
-        .select("*", "_found.*")
-        .drop("_found")
-        .withColumn("excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
+        .withColumn("found", found)
+        .selectExpr("* EXCEPT (found)", "found.*")
+        .selectExpr("*", "ci_lower > 0 OR ci_upper < 0 AS excludes_zero")
     )
 
 
 def effect_summary(effect: DataFrame) -> DataFrame:
     """The published precision: degrees to four places, shares in percent to one."""
-
-    def degrees(column: str, name: str) -> Column:
-        return F.bround(column, 4).alias(name)
-
-    def in_percent(column: str, name: str) -> Column:
-        return F.bround(F.col(column) * 100.0, 1).alias(name)
-
-    return effect.select(
-        degrees("naive_change", "naive_change_c"),
-        degrees("balanced_change", "balanced_change_c"),
-        degrees("effect", "composition_effect_c"),
-        in_percent("share_of_naive", "share_pct"),
-        in_percent("share_ci_lower", "share_pct_ci95_lower"),
-        in_percent("share_ci_upper", "share_pct_ci95_upper"),
-        degrees("ci_lower", "ci95_lower_c"),
-        degrees("ci_upper", "ci95_upper_c"),
+    return effect.selectExpr(
+        "bround(naive_change, 4) AS naive_change_c",
+        "bround(balanced_change, 4) AS balanced_change_c",
+        "bround(effect, 4) AS composition_effect_c",
+        "bround(100 * share_of_naive, 1) AS share_pct",
+        "bround(100 * share_ci_lower, 1) AS share_pct_ci95_lower",
+        "bround(100 * share_ci_upper, 1) AS share_pct_ci95_upper",
+        "bround(ci_lower, 4) AS ci95_lower_c",
+        "bround(ci_upper, 4) AS ci95_upper_c",
         "excludes_zero",
         "n_resamples",
         "n_stations",
         "n_stations_balanced",
-        F.lit("station").alias("resampling_unit"),
+        "'station' AS resampling_unit",
     )
 
 
@@ -293,14 +302,7 @@ def block_replicates(
 
 def _block_sums(network: Network, resamples: int, seed: int) -> DataFrame:
     bits = block_bits(network.n_stations)
-    leading = F.conv(F.substring(F.md5(F.col("station").cast("string")), 1, 4), 16, 10)
-    blocked = _both_panels(network.stations).withColumn(
-        "block", F.shiftright(leading.cast("int"), MOST_BLOCK_BITS - bits)
-    )
-    # at most 2 ** MOST_BLOCK_BITS numbers, however many stations there are
-    sizes = np.zeros(1 << bits, dtype=np.int64)
-    for row in blocked.groupBy("block").count().collect():
-        sizes[row["block"]] = row["count"]
+    sizes = network.stations_by_prefix.reshape(1 << bits, -1).sum(axis=1)
     columns = ENDS + PANEL_ENDS
 
     def replicate_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -312,47 +314,44 @@ def _block_sums(network: Network, resamples: int, seed: int) -> DataFrame:
         return sums
 
     # the number of partitions is given, so adaptive execution keeps small blocks apart
-    partials = (
-        blocked.select("block", "station", *columns)
+    return (
+        network.stations.selectExpr(
+            f"shiftright(prefix, {MOST_BLOCK_BITS - bits}) AS block", "station", *columns
+        )
         .repartition(len(sizes), "block")
         .groupBy("block")
         .applyInPandas(
             replicate_block, "replicate long, " + ", ".join(f"{c} double" for c in columns)
         )
+        .groupBy("replicate")
+        .agg(*map(F.expr, SUMS))
     )
-    return partials.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 # -------------------------------------------------------------- draws by slots
 
 
-def slot_station(replicate: Column, slot: Column, n_stations: int, seed: int) -> Column:
+def slot_station(n_stations: int, seed: int) -> str:
     """Station index of one draw: the first 15 hex digits of a hash, modulo n."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), replicate, slot))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n_stations
+    digest = f"md5(concat('{int(seed)}:', replicate, ':', slot))"
+    return f"CAST(conv(substr({digest}, 1, 15), 16, 10) AS LONG) % {n_stations}"
 
 
 def _slot_sums(network: Network, resamples: int, seed: int) -> DataFrame:
     spark = network.stations.sparkSession
-    n = network.n_stations
-    draws = resamples * n
+    n = max(1, network.n_stations)
+    draws = resamples * network.n_stations
     tasks = max(spark.sparkContext.defaultParallelism, -(-draws // DRAWS_PER_TASK))
-    stations = _both_panels(dense_index(network.stations, "station")).drop("station", "balanced")
+    stations = dense_index(network.stations.select("station", *ENDS, *PANEL_ENDS), "station")
     if n <= BROADCAST_STATIONS:
         stations = F.broadcast(stations)
     return (
         spark.range(0, draws, 1, tasks)
-        .select(
-            F.expr(f"id div {max(n, 1)}").alias("replicate"),
-            (F.col("id") % max(n, 1)).alias("slot"),
-        )
-        .select(
-            "replicate",
-            slot_station(F.col("replicate"), F.col("slot"), max(n, 1), seed).alias("idx"),
-        )
+        .selectExpr(f"id div {n} AS replicate", f"id % {n} AS slot")
+        .selectExpr("replicate", f"{slot_station(n, seed)} AS idx")
         .join(stations, "idx")
         .groupBy("replicate")
-        .agg(*[F.sum(c).alias(c) for c in ENDS + PANEL_ENDS])
+        .agg(*map(F.expr, SUMS))
     )
 
 

@@ -27,17 +27,22 @@ def needed_columns(observations: DataFrame, *columns: str) -> DataFrame:
     return observations.select(*columns)
 
 
-def _occurrences(flags: Sequence[str], encoding: str) -> list[Column]:
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _counts(flags: Sequence[str], encoding: str) -> list[str]:
     # count_if gives 0, not NULL, when there are no rows
-    hit = {"boolean": lambda f: F.col(f), "text": lambda f: F.col(f) == "1"}[encoding]
-    return [F.count_if(hit(f)).alias(f) for f in flags]
+    hit = {"boolean": "{0}", "text": "{0} = '1'"}[encoding]
+    names = [quoted(f) for f in flags]
+    return [f"count_if({hit.format(f)}) AS {f}" for f in names] + ["count(*) AS station_days"]
 
 
 def wide_event_counts(
     observations: DataFrame, flags: Sequence[str] = EVENT_FLAGS, encoding: str = "boolean"
 ) -> DataFrame:
     """One row: the number of rows with each flag, and the number of rows."""
-    return observations.agg(*_occurrences(flags, encoding), F.count("*").alias("station_days"))
+    return observations.selectExpr(*_counts(flags, encoding))
 
 
 def event_counts(
@@ -87,7 +92,7 @@ def monthly_events(
     chosen = observations if year is None else observations.where(F.col(year_column) == year)
     return (
         chosen.groupBy(F.month(date_column).alias("month"))
-        .agg(*_occurrences(flags, encoding), F.count("*").alias("station_days"))
+        .agg(*map(F.expr, _counts(flags, encoding)))
         .orderBy(F.asc_nulls_last("month"))
     )
 

@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "stationdays", **extra: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
