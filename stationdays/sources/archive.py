@@ -5,11 +5,14 @@ splits records into text columns, bound by header name; every interpretation of
 the text is left to native expressions (`stationdays.sources.ingest`).
 
 A gzip stream has one entry point, so a task must inflate an archive from its
-start. Splitting records costs several times more than inflating, so a large
-archive is read by several tasks, each taking every n-th member. Only slices of
-one archive repeat the inflating, and their number is bounded. Records are
-handed over in Arrow batches while the member is being read: neither an archive
-nor a member is ever held whole.
+start. Inflating is the smaller part of the work, so a large archive is read by
+several tasks, each taking every n-th member. Only slices of one archive repeat
+the inflating, and their number is bounded. Records are handed over in Arrow
+batches as they are read: an archive is never held whole.
+
+A member of usual size goes through Arrow's CSV parser. One that parser refuses
+(records of different lengths, bytes that are not UTF-8, a name twice in the
+header), or one too large to hold, is read record by record instead.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,6 +38,7 @@ from stationdays.sources.files import filesystem_and_path, ship_by_value
 FORMAT = "station_archive"
 ARCHIVE_NAME = re.compile(r"^(\d{4})\.tar\.gz$")
 RECORDS_PER_BATCH = 8192
+WHOLE_MEMBER_BYTES = 64 << 20
 SLICE_BYTES = 32 << 20
 MOST_SLICES = 8
 
@@ -85,23 +90,76 @@ def member_records(stream: io.TextIOBase, columns: list[str]) -> Iterator[tuple]
             yield pick(record + padding[len(record):])[:-1]
 
 
-def record_batches(
-    records: Iterable[tuple], schema: pa.Schema, year: int
-) -> Iterator[pa.RecordBatch]:
+def tables_of_records(records: Iterable[tuple], columns: list[str]) -> Iterator[pa.Table]:
     rows: list[tuple] = []
 
-    def batch() -> pa.RecordBatch:
-        arrays = [pa.array(values, pa.string()) for values in zip(*rows)]
-        arrays.append(pa.array([year] * len(rows), pa.int32()))
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def table() -> pa.Table:
+        return pa.table([pa.array(values, pa.string()) for values in zip(*rows)], names=columns)
 
     for record in records:
         rows.append(record)
         if len(rows) == RECORDS_PER_BATCH:
-            yield batch()
+            yield table()
             rows.clear()
     if rows:
-        yield batch()
+        yield table()
+
+
+def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
+    """The wanted columns of a regular CSV file, None if it is not regular."""
+    names = content.split(b"\n", 1)[0].split(b",")
+    if len(set(names)) != len(names):
+        return None
+    try:
+        return pacsv.read_csv(
+            pa.BufferReader(content),
+            read_options=pacsv.ReadOptions(use_threads=False, block_size=len(content) + 1),
+            parse_options=pacsv.ParseOptions(newlines_in_values=True),
+            convert_options=pacsv.ConvertOptions(
+                column_types={c: pa.string() for c in columns},
+                include_columns=columns,
+                include_missing_columns=True,
+                strings_can_be_null=False,
+            ),
+        )
+    except pa.ArrowInvalid:
+        return None
+
+
+def member_tables(
+    archive: tarfile.TarFile, member: tarfile.TarInfo, columns: list[str]
+) -> Iterator[pa.Table]:
+    stream = archive.extractfile(member)
+    if member.size <= WHOLE_MEMBER_BYTES:
+        content = stream.read()
+        table = regular_table(content, columns)
+        if table is not None:
+            yield table
+            return
+        stream = io.BytesIO(content)
+    text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="")
+    yield from tables_of_records(member_records(text, columns), columns)
+
+
+def batches_of_year(tables: Iterable[pa.Table], year: int) -> Iterator[pa.RecordBatch]:
+    """The tables' rows in batches of some size, with the year."""
+    waiting: list[pa.Table] = []
+    rows = 0
+
+    def batches() -> list[pa.RecordBatch]:
+        together = pa.concat_tables(waiting).combine_chunks()
+        years = pa.array([year] * len(together), pa.int32())
+        return together.append_column("year", years).to_batches(RECORDS_PER_BATCH)
+
+    for table in tables:
+        waiting.append(table)
+        rows += len(table)
+        if rows >= RECORDS_PER_BATCH:
+            yield from batches()
+            waiting.clear()
+            rows = 0
+    if rows:
+        yield from batches()
 
 
 class ArchiveReader(DataSourceReader):
@@ -122,23 +180,17 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, partition: ArchiveSlice) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
-        schema = pa.schema([(c, pa.string()) for c in self.columns] + [("year", pa.int32())])
         filesystem, path = filesystem_and_path(partition.uri)
         with filesystem.open_input_file(path) as source, tarfile.open(
             fileobj=source, mode="r:gz"
         ) as archive:
-            yield from record_batches(
-                self.records(archive, partition), schema, partition.year
-            )
+            yield from batches_of_year(self.tables(archive, partition), partition.year)
 
-    def records(self, archive: tarfile.TarFile, partition: ArchiveSlice) -> Iterator[tuple]:
+    def tables(self, archive: tarfile.TarFile, partition: ArchiveSlice) -> Iterator[pa.Table]:
         members = (m for m in archive if m.isfile() and m.name.endswith(".csv"))
         for number, member in enumerate(members):
             if number % partition.slices == partition.slice_number:
-                text = io.TextIOWrapper(
-                    archive.extractfile(member), encoding="utf-8", errors="replace", newline=""
-                )
-                yield from member_records(text, self.columns)
+                yield from member_tables(archive, member, self.columns)
             # tarfile remembers every member; forget the ones already read
             archive.members = []
 

@@ -156,11 +156,47 @@ def test_years_prune_archives_and_slices_cover_all_members(spark, tmp_path):
     assert [r["year"] for r in one.select("year").distinct().collect()] == [2023]
 
 
-def test_batches_do_not_end_with_members(spark, tmp_path, monkeypatch):
+def test_batches_do_not_end_with_members(spark, tmp_path):
     days = [{"STATION": str(i)} for i in range(archive.RECORDS_PER_BATCH + 5)]
     assert ingest_archive(spark, tmp_path, *days).count() == len(days)
 
 
+COLUMNS = ["STATION", "NAME", "TEMP", "FRSHTT"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "STATION,NAME,TEMP,FRSHTT\n1,a,2.0,111111\n2,,,\n",
+        "FRSHTT,X,STATION\n0,x,1\n",
+        '"STATION","NAME"\n"1","a ""b"", c"\n"2","d\ne"\n',
+        "STATION,NAME\r\n1,a\r\n\r\n2,b",
+        "STATION,NAME\n1\n2,b,c\n",
+        "STATION,STATION\n1,2\n",
+        "STATION,NAME\n1,a",
+        "STATION,NAME\n",
+        "",
+        "\ufeffSTATION,NAME\n1,\u00e9\n",
+        'STATION,NAME\n1,a"b"c\n2,"unclosed\n',
+    ],
+)
+@pytest.mark.parametrize("broken_bytes", [False, True])
+def test_both_parsers_read_the_same(tmp_path, monkeypatch, text, broken_bytes):
+    content = text.encode() + (b"3,\xff\n" if broken_bytes and text.endswith("\n") else b"")
+    path = write_archive(tmp_path / "2024.tar.gz", {"a.csv": content})
+
+    def rows():
+        reader = archive.ArchiveReader(str(tmp_path), None, 1 << 30, COLUMNS)
+        (part,) = reader.partitions()
+        return [{k: v or "" for k, v in row.items()}
+                for batch in reader.read(part) for row in batch.to_pylist()]
+
+    usual = rows()
+    monkeypatch.setattr(archive, "WHOLE_MEMBER_BYTES", -1)
+    assert usual == rows()
+    assert path.exists() and (usual or text.count("\n") < 2)
+
+
 def write_csv(folder, name, content):
     folder.mkdir(parents=True, exist_ok=True)
     (folder / name).write_bytes(content)
