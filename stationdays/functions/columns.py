@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from stationdays.schema import EVENT_FLAGS
 
 BLANKS = " \t\r\n\f\v"
-# Only the characters of a plain decimal number. The cast alone would also take
-# "nan", "inf", hexadecimal and a trailing type letter ("1.0d").
-NUMBER_CHARACTERS = r"^[0-9+\-.eE]+$"
+# Only the characters of a plain decimal number, between blanks. The cast alone
+# would also take "nan", "inf", hexadecimal and a trailing type letter ("1.0d").
+NUMBER_CHARACTERS = r"^\s*[0-9+\-.eE]+\s*$"
 TEBIBYTE = 1 << 40
 
 
@@ -33,8 +33,8 @@ def without_sentinel(value: Column, sentinel: float | None) -> Column:
 
 def parse_number(text: Column, sentinel: float | None = None) -> Column:
     """Double from untrusted text; empty, malformed or sentinel text is NULL."""
-    bare = stripped(text)
-    number = F.when(bare.rlike(NUMBER_CHARACTERS), bare.try_cast("double"))
+    # the cast ignores blanks around the number by itself
+    number = F.when(text.rlike(NUMBER_CHARACTERS), text.try_cast("double"))
     return without_sentinel(number, sentinel)
 
 

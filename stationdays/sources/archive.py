@@ -39,7 +39,7 @@ FORMAT = "station_archive"
 ARCHIVE_NAME = re.compile(r"^(\d{4})\.tar\.gz$")
 RECORDS_PER_BATCH = 8192
 WHOLE_MEMBER_BYTES = 64 << 20
-SLICE_BYTES = 32 << 20
+LEAST_SLICE_BYTES = 1 << 20
 MOST_SLICES = 8
 
 
@@ -54,17 +54,18 @@ class ArchiveSlice(InputPartition):
 
 
 def list_archives(folder: str) -> list[tuple[str, int, int]]:
-    """(path, year, bytes) of every archive below a folder."""
-    filesystem, path = filesystem_and_path(folder)
+    """(uri, year, bytes) of every archive below a folder."""
+    filesystem, root = filesystem_and_path(folder)
     found = []
-    for info in filesystem.get_file_info(pafs.FileSelector(path, recursive=True)):
+    for info in filesystem.get_file_info(pafs.FileSelector(root, recursive=True)):
         named = ARCHIVE_NAME.match(info.base_name)
         if named and info.type == pafs.FileType.File:
-            found.append((info.path, int(named.group(1)), info.size))
+            below = info.path.removeprefix(root.rstrip("/")).lstrip("/")
+            found.append((f"{folder.rstrip('/')}/{below}", int(named.group(1)), info.size))
     return sorted(found)
 
 
-def slices_for(size: int, slice_bytes: int = SLICE_BYTES) -> int:
+def slices_for(size: int, slice_bytes: int) -> int:
     return max(1, min(MOST_SLICES, -(-size // slice_bytes)))
 
 
@@ -163,19 +164,33 @@ def batches_of_year(tables: Iterable[pa.Table], year: int) -> Iterator[pa.Record
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, folder: str, years: set[int] | None, slice_bytes: int, columns: list[str]):
+    def __init__(
+        self,
+        folder: str,
+        years: set[int] | None,
+        columns: list[str],
+        tasks: int = 1,
+        slice_bytes: int | None = None,
+    ):
         self.folder = folder
         self.years = years
-        self.slice_bytes = slice_bytes
         self.columns = columns
+        self.tasks = tasks
+        self.slice_bytes = slice_bytes
 
     def partitions(self) -> list[ArchiveSlice]:
-        scheme = self.folder.split("://", 1)[0] + "://" if "://" in self.folder else ""
+        chosen = [
+            found for found in list_archives(self.folder)
+            if self.years is None or found[1] in self.years
+        ]
+        # as many slices as keep the tasks busy: many archives are not cut at all,
+        # and of a few the largest are cut most
+        even = sum(size for _, _, size in chosen) // self.tasks
+        slice_bytes = self.slice_bytes or max(LEAST_SLICE_BYTES, even)
         out = []
-        for path, year, size in list_archives(self.folder):
-            if self.years is None or year in self.years:
-                slices = slices_for(size, self.slice_bytes)
-                out += [ArchiveSlice(scheme + path, year, k, slices) for k in range(slices)]
+        for uri, year, size in chosen:
+            slices = slices_for(size, slice_bytes)
+            out += [ArchiveSlice(uri, year, k, slices) for k in range(slices)]
         return out
 
     def read(self, partition: ArchiveSlice) -> Iterator[pa.RecordBatch]:
@@ -210,8 +225,9 @@ class StationArchives(DataSource):
         return ArchiveReader(
             folder=self.options["path"],
             years=None if years is None else {int(y) for y in years.split(",") if y.strip()},
-            slice_bytes=int(self.options.get("slicebytes", SLICE_BYTES)),
             columns=[f.name for f in schema.fields if f.name != "year"],
+            tasks=int(self.options.get("tasks", 1)),
+            slice_bytes=int(self.options.get("slicebytes", 0)) or None,
         )
 
 
@@ -219,14 +235,18 @@ def read_archives(
     spark: SparkSession,
     folder: str,
     years: Iterable[int] | None = None,
-    slice_bytes: int = SLICE_BYTES,
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """Raw text rows of the archives below a folder, with the archive's year.
 
-    `years` prunes whole archives before any is opened.
+    `years` prunes whole archives before any is opened. A slice is sized to give
+    every core two tasks, or as `slice_bytes` says.
     """
     spark.dataSource.register(StationArchives)
-    reader = spark.read.format(FORMAT).option("slicebytes", str(slice_bytes))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    reader = spark.read.format(FORMAT).option("tasks", str(tasks))
+    if slice_bytes is not None:
+        reader = reader.option("slicebytes", str(slice_bytes))
     if years is not None:
         reader = reader.option("years", ",".join(str(y) for y in years))
     return reader.load(folder)

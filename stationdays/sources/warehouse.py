@@ -25,16 +25,18 @@ def write_observations(
 
     With `rebalance` rows are shuffled by partition value, and adaptive execution
     splits a large year over as many tasks as its size asks for: right for rows
-    whose tasks each hold many years. Without it nothing is shuffled and every
-    task writes what it read: right for archives, whose tasks hold one year each.
-    Inside a file rows are ordered by station and date, which keeps names and
-    positions in long runs and makes row-group statistics selective.
+    whose tasks each hold many years. Inside a file rows are then ordered by
+    `cluster`, which keeps names and positions in long runs and makes row-group
+    statistics selective. Without it nothing is shuffled or sorted by station:
+    every task writes what it read, in its order. That is right for archives,
+    whose tasks each hold one year, station by station.
     """
     if rebalance:
-        observations = observations.hint("rebalance", partition)
+        observations = observations.hint("rebalance", partition).sortWithinPartitions(
+            partition, *cluster
+        )
     (
-        observations.sortWithinPartitions(partition, *cluster)
-        .write.mode("overwrite")
+        observations.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .partitionBy(partition)

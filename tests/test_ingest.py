@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from conftest import DAY, HEADER, station_file, write_archive
 from pyspark.sql import functions as F
@@ -156,6 +158,20 @@ def test_years_prune_archives_and_slices_cover_all_members(spark, tmp_path):
     assert [r["year"] for r in one.select("year").distinct().collect()] == [2023]
 
 
+def test_large_archives_are_cut_most(tmp_path):
+    for year, size in ((2020, 1 << 20), (2021, 3 << 20), (2022, 8 << 20)):
+        (tmp_path / f"{year}.tar.gz").write_bytes(bytes(size))
+
+    def slices(tasks):
+        reader = archive.ArchiveReader(str(tmp_path), None, COLUMNS, tasks)
+        return Counter(part.year for part in reader.partitions())
+
+    assert slices(12) == {2020: 1, 2021: 3, 2022: 8}
+    assert slices(4) == {2020: 1, 2021: 1, 2022: 3}
+    assert slices(1) == {2020: 1, 2021: 1, 2022: 1}
+    assert slices(10_000)[2022] == archive.MOST_SLICES
+
+
 def test_batches_do_not_end_with_members(spark, tmp_path):
     days = [{"STATION": str(i)} for i in range(archive.RECORDS_PER_BATCH + 5)]
     assert ingest_archive(spark, tmp_path, *days).count() == len(days)
@@ -186,7 +202,7 @@ def test_both_parsers_read_the_same(tmp_path, monkeypatch, text, broken_bytes):
     path = write_archive(tmp_path / "2024.tar.gz", {"a.csv": content})
 
     def rows():
-        reader = archive.ArchiveReader(str(tmp_path), None, 1 << 30, COLUMNS)
+        reader = archive.ArchiveReader(str(tmp_path), None, COLUMNS)
         (part,) = reader.partitions()
         return [{k: v or "" for k, v in row.items()}
                 for batch in reader.read(part) for row in batch.to_pylist()]
