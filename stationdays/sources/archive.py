@@ -12,7 +12,7 @@ batches as they are read: an archive is never held whole.
 
 A member of usual size goes through Arrow's CSV parser. One that parser refuses
 (records of different lengths, bytes that are not UTF-8, a name twice in the
-header), or one too large to hold, is read record by record instead.
+header), one of a few lines, or one too large to hold, is read record by record.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import sys
 import tarfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from operator import itemgetter
 
 import pyarrow as pa
@@ -38,6 +39,7 @@ from stationdays.sources.files import filesystem_and_path, ship_by_value
 FORMAT = "station_archive"
 ARCHIVE_NAME = re.compile(r"^(\d{4})\.tar\.gz$")
 RECORDS_PER_BATCH = 8192
+FEW_LINES_BYTES = 8 << 10
 WHOLE_MEMBER_BYTES = 64 << 20
 LEAST_SLICE_BYTES = 1 << 20
 MOST_SLICES = 8
@@ -91,19 +93,14 @@ def member_records(stream: io.TextIOBase, columns: list[str]) -> Iterator[tuple]
             yield pick(record + padding[len(record):])[:-1]
 
 
-def tables_of_records(records: Iterable[tuple], columns: list[str]) -> Iterator[pa.Table]:
-    rows: list[tuple] = []
+def table_of(records: list[tuple], columns: list[str]) -> pa.Table:
+    return pa.table([pa.array(values, pa.string()) for values in zip(*records)], names=columns)
 
-    def table() -> pa.Table:
-        return pa.table([pa.array(values, pa.string()) for values in zip(*rows)], names=columns)
 
-    for record in records:
-        rows.append(record)
-        if len(rows) == RECORDS_PER_BATCH:
-            yield table()
-            rows.clear()
-    if rows:
-        yield table()
+def tables_of_records(records: Iterable[tuple], columns: list[str]) -> Iterator[pa.Table]:
+    records = iter(records)
+    while some := list(islice(records, RECORDS_PER_BATCH)):
+        yield table_of(some, columns)
 
 
 def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
@@ -127,19 +124,33 @@ def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
         return None
 
 
+def as_text(stream: io.BufferedIOBase) -> io.TextIOWrapper:
+    return io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="")
+
+
 def member_tables(
-    archive: tarfile.TarFile, member: tarfile.TarInfo, columns: list[str]
+    archive: tarfile.TarFile, members: Iterable[tarfile.TarInfo], columns: list[str]
 ) -> Iterator[pa.Table]:
-    stream = archive.extractfile(member)
-    if member.size <= WHOLE_MEMBER_BYTES:
-        content = stream.read()
-        table = regular_table(content, columns)
-        if table is not None:
-            yield table
-            return
-        stream = io.BytesIO(content)
-    text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="")
-    yield from tables_of_records(member_records(text, columns), columns)
+    """All members' records; those of small members share a table."""
+    few: list[tuple] = []
+    for member in members:
+        stream = archive.extractfile(member)
+        if member.size <= FEW_LINES_BYTES:
+            few.extend(member_records(as_text(stream), columns))
+            if len(few) >= RECORDS_PER_BATCH:
+                yield table_of(few, columns)
+                few.clear()
+            continue
+        if member.size <= WHOLE_MEMBER_BYTES:
+            content = stream.read()
+            table = regular_table(content, columns)
+            if table is not None:
+                yield table
+                continue
+            stream = io.BytesIO(content)
+        yield from tables_of_records(member_records(as_text(stream), columns), columns)
+    if few:
+        yield table_of(few, columns)
 
 
 def batches_of_year(tables: Iterable[pa.Table], year: int) -> Iterator[pa.RecordBatch]:
@@ -199,13 +210,15 @@ class ArchiveReader(DataSourceReader):
         with filesystem.open_input_file(path) as source, tarfile.open(
             fileobj=source, mode="r:gz"
         ) as archive:
-            yield from batches_of_year(self.tables(archive, partition), partition.year)
+            tables = member_tables(archive, self.members(archive, partition), self.columns)
+            yield from batches_of_year(tables, partition.year)
 
-    def tables(self, archive: tarfile.TarFile, partition: ArchiveSlice) -> Iterator[pa.Table]:
-        members = (m for m in archive if m.isfile() and m.name.endswith(".csv"))
-        for number, member in enumerate(members):
+    @staticmethod
+    def members(archive: tarfile.TarFile, partition: ArchiveSlice) -> Iterator[tarfile.TarInfo]:
+        files = (m for m in archive if m.isfile() and m.name.endswith(".csv"))
+        for number, member in enumerate(files):
             if number % partition.slices == partition.slice_number:
-                yield from member_tables(archive, member, self.columns)
+                yield member
             # tarfile remembers every member; forget the ones already read
             archive.members = []
 
