@@ -78,6 +78,11 @@ def counts_table(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "event string, occurrences long")
 
 
+def earlier_counts(spark: SparkSession, year: int) -> DataFrame | None:
+    """The earlier run's counts, for the one year they are about."""
+    return counts_table(spark, EARLIER_COUNTS) if year == EARLIER_YEAR else None
+
+
 def analysis_sections(
     observations: DataFrame,
     year: int,

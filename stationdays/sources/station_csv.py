@@ -72,14 +72,15 @@ def read_station_csv(
     are split over tasks, unless quoted fields may hold line breaks.
     """
     headers = file_headers(spark, folder, glob)
-    distinct = headers.where("header <> ''").groupBy("header").agg(F.count("*").alias("files"))
-    # one row per distinct column layout, not per file
-    layouts = sorted((r["header"], r["files"]) for r in distinct.collect())
-    if not layouts:
+    # one row per distinct header, not per file
+    distinct = headers.where("header <> ''").select("header").distinct()
+    lines = sorted(row["header"] for row in distinct.collect())
+    if not lines:
         raise FileNotFoundError(f"no CSV file with a header below {folder}")
-    names = [next(csv.reader([line])) for line, _ in layouts]
+    names_of = {line: tuple(next(csv.reader([line]))) for line in lines}
+    layouts = sorted(set(names_of.values()))
 
-    width = max(len(n) for n in names)
+    width = max(len(names) for names in layouts)
     positional = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(width)])
     rows = (
         spark.read.schema(positional)
@@ -96,22 +97,20 @@ def read_station_csv(
     )
 
     if len(layouts) > 1:
-        number = {line: i for i, (line, _) in enumerate(layouts)}
-        of_file = headers.select(
-            "file_path",
-            F.coalesce(
-                *[F.when(F.col("header") == line, F.lit(i)) for line, i in number.items()]
-            ).alias("layout"),
-        )
-        if sum(files for _, files in layouts) <= BROADCAST_FILES:
-            of_file = F.broadcast(of_file)
-        rows = rows.join(of_file, "file_path")
+        number = [
+            F.when(F.col("header") == line, F.lit(layouts.index(names)))
+            for line, names in names_of.items()
+        ]
+        layout_of_file = headers.select("file_path", F.coalesce(*number).alias("layout"))
+        if headers.count() <= BROADCAST_FILES:
+            layout_of_file = F.broadcast(layout_of_file)
+        rows = rows.join(layout_of_file, "file_path")
 
     def bound(column: str) -> Column:
         places = [
-            (i, F.col(f"f{layout.index(column)}"))
-            for i, layout in enumerate(names)
-            if column in layout
+            (i, F.col(f"f{names.index(column)}"))
+            for i, names in enumerate(layouts)
+            if column in names
         ]
         if not places:
             return F.lit(None).cast("string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 from collections import Counter
+from contextlib import redirect_stdout
 
 import pytest
 from conftest import DAY, HEADER, station_file, write_archive
@@ -232,7 +234,9 @@ def test_csv_folder_gives_the_same_rows_as_the_archive(spark, tmp_path):
     assert ingest.to_observations(packed).exceptAll(ingest.to_observations(unpacked)).isEmpty()
 
 
-def test_csv_files_with_different_headers(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_files", [0, station_csv.BROADCAST_FILES])
+def test_csv_files_with_different_headers(spark, tmp_path, monkeypatch, broadcast_files):
+    monkeypatch.setattr(station_csv, "BROADCAST_FILES", broadcast_files)
     swapped = [c for c in reversed(HEADER) if c != "WDSP"]
     write_csv(tmp_path / "2024", "a b.csv", station_file({"STATION": "a"}))
     write_csv(tmp_path / "2024", "b.csv", station_file({"STATION": "b"}, header=swapped))
@@ -250,6 +254,19 @@ def test_csv_files_with_different_headers(spark, tmp_path):
         assert flags_of(got[s]) == ["fog", "rain_drizzle", "snow_ice_pellets"]
 
 
+def test_headers_quoted_differently_are_one_layout(spark, tmp_path):
+    content = station_file({})
+    header, body = content.split(b"\n", 1)
+    write_csv(tmp_path / "2024", "a.csv", content)
+    write_csv(tmp_path / "2024", "b.csv", header.replace(b'"', b"") + b"\n" + body)
+    rows = station_csv.read_station_csv(spark, str(tmp_path))
+    assert rows.distinct().count() == 1 and rows.count() == 2
+    out = io.StringIO()
+    with redirect_stdout(out):
+        rows.explain()
+    assert "Join" not in out.getvalue()
+
+
 def test_csv_short_rows_and_bad_bytes(spark, tmp_path):
     text = station_file({"NAME": "X"}).replace(b'"X"', b'"\xff, NO"') + b'"9","2024-01-03"\n'
     write_csv(tmp_path / "2024", "a.csv", text)

@@ -10,7 +10,7 @@ import pytest
 
 from stationdays.checks.queries import QUERIES
 from stationdays.checks.tables import order_text_rows
-from stationdays.operators import panel, questions
+from stationdays.operators import bootstrap, panel, questions
 from stationdays.schema import EVENT_FLAGS
 from stationdays.sources import ingest, warehouse
 
@@ -83,6 +83,28 @@ def test_ingest_is_one_projection(spark):
     assert "Exchange" not in text and "Python" not in text
 
 
+def test_blocks_move_stations_once_and_draws_never(stored, monkeypatch):
+    monkeypatch.setattr(bootstrap, "STATIONS_PER_BLOCK", 16)
+    network = bootstrap.station_network(stored)
+    text = plan(bootstrap.bootstrap_draws(network, 100))
+    assert "Join" not in text and "Broadcast" not in text
+    # stations to their blocks, and one partial sum per block and replicate
+    assert re.findall(r"Exchange \w+\((\w+)#\d+\w*, (\d+)\)", text) == [
+        ("replicate", "8"), ("block", "16")]
+
+
+def test_slots_broadcast_stations_only_when_few(stored, monkeypatch):
+    network = bootstrap.station_network(stored)
+    assert "BroadcastExchange" in plan(bootstrap.bootstrap_draws(network, 100, 42, "slots"))
+    monkeypatch.setattr(bootstrap, "BROADCAST_STATIONS", 0)
+    stored.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(bootstrap.bootstrap_draws(network, 100, 42, "slots"))
+    finally:
+        stored.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"(SortMerge|ShuffledHash)Join \[idx", text)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(QUERIES[name](spark, SMALL))

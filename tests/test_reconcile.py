@@ -5,7 +5,7 @@ from __future__ import annotations
 from conftest import records
 
 from stationdays.operators.reconcile import count_reconcile, reconcile_summary
-from stationdays.plans.jobs import EARLIER_COUNTS, counts_table
+from stationdays.plans.jobs import EARLIER_COUNTS, counts_table, earlier_counts
 
 PUBLISHED = {"rain_drizzle": 983613, "snow_ice_pellets": 237933, "fog": 221063,
              "thunder": 176911, "hail": 4516, "tornado_funnel_cloud": 207}
@@ -13,8 +13,10 @@ PUBLISHED = {"rain_drizzle": 983613, "snow_ice_pellets": 237933, "fog": 221063,
 
 def test_against_the_earlier_run(spark):
     compared = count_reconcile(
-        counts_table(spark, PUBLISHED), counts_table(spark, EARLIER_COUNTS), how="inner")
+        counts_table(spark, PUBLISHED), earlier_counts(spark, 2024), how="inner")
+    assert earlier_counts(spark, 2023) is None
     got = records(compared, "event")
+    assert set(got) == set(EARLIER_COUNTS)
     assert {e: r["relative_pct"] for e, r in got.items()} == {
         "rain_drizzle": 1.55, "snow_ice_pellets": 1.43, "fog": 1.52, "thunder": 1.74,
         "hail": 0.96, "tornado_funnel_cloud": 0.49}
