@@ -18,12 +18,12 @@ from stationdays.checks.tables import (
     write_archives,
     write_station_csv,
 )
+from stationdays import functions
 from stationdays.functions import (
     clean_text,
     decode_flags,
     parse_date,
     parse_number,
-    scan_price,
     to_celsius,
     without_sentinel,
 )
@@ -211,12 +211,12 @@ def unit_conversion(spark, sf_dir):
 
 
 @query
-def scan_price_by_flag(spark, sf_dir):
+def scan_price(spark, sf_dir):
     gibibytes = F.sum("l_quantity")
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_returnflag")
-        .agg(scan_price(gibibytes * float(1 << 30), RATE).alias("price"))
+        .agg(functions.scan_price(gibibytes * float(1 << 30), RATE).alias("price"))
     )
 
 

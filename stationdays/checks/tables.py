@@ -33,7 +33,7 @@ concat(CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END,
             WHEN o_orderkey % 13 = 0 THEN '1' ELSE '0' END)
 """
 
-ROWS_PER_ARCHIVE = 1_000_000
+ROWS_PER_ARCHIVE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

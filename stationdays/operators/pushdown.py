@@ -4,9 +4,8 @@ all_columns      every column of every row handed to Python, counted there
 needed_columns   only the flag columns handed to Python, counted there
 engine           counted by Spark, one row handed over
 
-An optimisation that changes the answer is none, so the routes must agree. Here
-Python counts inside tasks, batch by batch; `bench.py` also times handing the rows
-to one client.
+All three must give the same counts. Here Python counts inside tasks, batch by
+batch; `bench.py` also times handing the rows to one client.
 """
 
 from __future__ import annotations

@@ -17,10 +17,7 @@ HASH_CHUNK = 1 << 20
 # one is streamed, since a binary value ends at 2 GiB.
 WHOLE_FILE_BYTES = 256 << 20
 
-MISSING_NOTE = (
-    "the table is present but its source archive is not; "
-    "ingest the year again with force=True to restore a checksum"
-)
+MISSING_NOTE = "no archive left to take a checksum from; a forced ingest would need a new one"
 
 
 def streamed_sha256(uri: str) -> str:
