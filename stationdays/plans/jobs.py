@@ -38,6 +38,7 @@ def build_warehouse(
     Returns the manifest: one entry per year ever ingested. A year already there
     is not parsed again, but its archive, if still there, is checksummed.
     """
+    years = sorted(set(years))
     requested = warehouse.requested_years(spark, years)
     missing = warehouse.years_to_ingest(requested, warehouse.existing_years(spark, folder), force)
     todo = sorted(row["year"] for row in missing.collect())
@@ -59,7 +60,9 @@ def build_warehouse(
     stored = warehouse.open_observations(spark, folder, view=None)
     entries = manifest.manifest_entries(
         requested.join(tables, "year").withColumn("cached", ~fresh),
-        manifest.archive_provenance(manifest.file_manifest(spark, archives)),
+        manifest.archive_provenance(
+            manifest.file_manifest(spark, archives, manifest.archive_glob(years))
+        ),
         manifest.year_sizes(stored.where(fresh)),
     )
     manifest.append_manifest(entries, manifest_folder, generation=time.time_ns())

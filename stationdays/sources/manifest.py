@@ -68,11 +68,30 @@ def file_manifest(
     )
 
 
+def archive_glob(years: Iterable[int]) -> str:
+    """Only these years' archives: others are listed but never opened."""
+    return "{" + ",".join(str(int(y)) for y in sorted(set(years))) + "}.tar.gz"
+
+
 def archive_provenance(files: DataFrame) -> DataFrame:
-    """file_manifest rows keyed by the year their name states."""
+    """file_manifest rows of archives, one per year their names state.
+
+    A year may come in several archives; its checksum is then that of their
+    checksums in order.
+    """
     year = F.regexp_extract("file", r"^(\d{4})\.tar\.gz$", 1).try_cast("int")
-    return files.select(year.alias("year"), "file", "size_bytes", "sha256").where(
-        "year is not null"
+    return (
+        files.select(year.alias("year"), "file", "size_bytes", "sha256")
+        .where("year IS NOT NULL")
+        .groupBy("year")
+        .agg(
+            F.expr("if(count(*) = 1, max(file), concat(count(*), ' files')) AS file"),
+            F.sum("size_bytes").alias("size_bytes"),
+            F.expr(
+                "if(count(*) = 1, max(sha256),"
+                " sha2(array_join(array_sort(collect_list(sha256)), ''), 256)) AS sha256"
+            ),
+        )
     )
 
 

@@ -109,6 +109,20 @@ def test_large_files_are_streamed_to_the_same_checksum(spark, folders):
     assert sorted(whole.collect()) == sorted(streamed.collect())
 
 
+def test_a_year_in_several_archives_is_one_entry(spark, folders, tmp_path):
+    make_archives(tmp_path / "archives" / "more", 2024, temp=" 10.0")
+    files = manifest.file_manifest(spark, folders[0], manifest.archive_glob([2024]))
+    parts = sorted(files.collect(), key=lambda r: r["sha256"])
+    assert [r["file"] for r in parts] == ["2024.tar.gz"] * 2
+    (entry,) = manifest.archive_provenance(files).collect()
+    joined = "".join(r["sha256"] for r in parts).encode()
+    assert entry.asDict() == {
+        "year": 2024, "file": "2 files", "size_bytes": sum(r["size_bytes"] for r in parts),
+        "sha256": hashlib.sha256(joined).hexdigest()}
+    (built,) = jobs.build_warehouse(spark, *folders, [2024]).collect()
+    assert built["rows"] == 12 and built["sha256"] == entry["sha256"]
+
+
 def test_report_round_trip(spark, hand, tmp_path):
     counts = questions.event_counts(hand, 2024)
     report.write_report({"event_counts": counts, "stats": questions.table_stats(hand)},
