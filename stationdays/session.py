@@ -18,6 +18,8 @@ def local_session(cores: str = "8", app: str = "stationdays", **extra: str) -> S
         "spark.sql.shuffle.partitions": "8" if cores == "*" else cores,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # small data on few cores: a shuffle of a megabyte is still worth splitting
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -70,6 +70,17 @@ def test_missing_values_do_not_make_a_year(spark):
     assert effect(spark, rows)["last_year"] == 2024
 
 
+@pytest.mark.parametrize("method", METHODS)
+def test_nothing_to_compare(spark, method):
+    one_year = effect(spark, [("A", 2020, 1.0), ("B", 2020, 3.0)], method=method)
+    assert one_year["naive_change"] == one_year["effect"] == 0.0
+    assert one_year["share_of_naive"] is None and one_year["first_year"] == 2020
+    nothing = effect(spark, [("A", 2020, None)], method=method)
+    assert nothing["n_stations"] == nothing["n_resamples"] == 0
+    assert nothing["effect"] is None and nothing["ci_lower"] is None
+    assert nothing["first_year"] is None and nothing["excludes_zero"] is None
+
+
 @pytest.mark.parametrize("method", METHODS)
 def test_interval_brackets_the_estimate(spark, method):
     got = effect(spark, newcomers(60, 20), 500, method=method)
