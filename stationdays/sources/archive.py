@@ -41,7 +41,7 @@ ARCHIVE_NAME = re.compile(r"^(\d{4})\.tar\.gz$")
 RECORDS_PER_BATCH = 8192
 FEW_LINES_BYTES = 8 << 10
 WHOLE_MEMBER_BYTES = 64 << 20
-LEAST_SLICE_BYTES = 1 << 20
+LEAST_SLICE_BYTES = 4 << 20
 MOST_SLICES = 8
 
 

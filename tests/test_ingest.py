@@ -160,7 +160,8 @@ def test_years_prune_archives_and_slices_cover_all_members(spark, tmp_path):
     assert [r["year"] for r in one.select("year").distinct().collect()] == [2023]
 
 
-def test_large_archives_are_cut_most(tmp_path):
+def test_large_archives_are_cut_most(tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "LEAST_SLICE_BYTES", 1 << 20)
     for year, size in ((2020, 1 << 20), (2021, 3 << 20), (2022, 8 << 20)):
         (tmp_path / f"{year}.tar.gz").write_bytes(bytes(size))
 
