@@ -132,8 +132,28 @@ def first_fifth(shingles: np.ndarray, levels: np.ndarray, percent: int = PERCENT
     return shingles[order[: missing + 1]]
 
 
+def shape_of(shingles: np.ndarray) -> bytes:
+    """How many shingles there are for each value of their leading bits, one byte each.
+
+    Of two sets, these counts differ in all by at most what the sets differ by, so they
+    give a least distance in a sixteenth of the space of the sets.
+    """
+    bits = max(4, int(len(shingles)).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def shape_difference(a: bytes, b: bytes) -> int:
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return int(np.abs(x - y).sum())
+
+
 def node_rows(documents: DataFrame, levels: np.ndarray) -> DataFrame:
-    """document, doc_id, node, n and the first shingles, as bytes, of each row of documents.
+    """document, doc_id, node, n, first shingles and shape of each row of documents.
 
     `document` tells rows apart that differ in id or text.
     """
@@ -149,15 +169,19 @@ def node_rows(documents: DataFrame, levels: np.ndarray) -> DataFrame:
                         ids,
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([first_fifth(s, levels).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(
+                            [first_fifth(s, levels).tobytes() if len(s) else None for s in sets],
+                            pa.binary(),
+                        ),
+                        pa.array([shape_of(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["document", "doc_id", "node", "n", "first"],
+                    ["document", "doc_id", "node", "n", "first", "shape"],
                 )
 
     return documents.select(
         F.xxhash64(F.col("doc_id").cast("long"), "text").alias("document"),
         F.col("doc_id").cast("long"), "text",
-    ).mapInArrow(rows, "document long, doc_id long, node long, n long, first binary")
+    ).mapInArrow(rows, "document long, doc_id long, node long, n long, first binary, shape binary")
 
 
 def memberships(nodes: DataFrame) -> DataFrame:
@@ -194,8 +218,8 @@ def _shape(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def set_rows(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """node, n, shingles of the given nodes, one row each, from the texts."""
+def set_rows(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, shingles of the nodes in pairs (a, b), one row each, from the texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,15 +232,49 @@ def set_rows(documents: DataFrame, members: DataFrame) -> DataFrame:
                     ["node", "shingles"],
                 )
 
-    # `members` names one document of each node
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"))
-    chosen = texts.join(members, F.col("doc").eqNullSafe(F.col("of")), "left_semi")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one document of each node; rows equal in id and text give a node twice
+    chosen = nodes.join(asked, "node", "left_semi").groupBy("node").agg(
+        F.min("document").alias("of")
+    )
+    texts = documents.select(
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("document"), "text"
+    ).join(chosen, F.col("document") == F.col("of"), "left_semi")
     return (
-        chosen.select("text").mapInArrow(rows, "node long, shingles binary")
+        texts.select("text").mapInArrow(rows, "node long, shingles binary")
         .groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
 
 
+def near_pairs(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and shapes allow them to share so many percent."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array(
+                [
+                    shape_difference(x, y)
+                    for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())
+                ],
+                np.int64,
+            )
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy() + least
+            able = pa.array(200 * least <= (100 - percent) * total)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(able), batch.column("b").filter(able)], ["a", "b"]
+            )
+
+    sides = (
+        shapes.select(
+            F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("shape").alias(f"x{c}")
+        )
+        for c in "ab"
+    )
+    sized = pairs.join(next(sides), "a").join(next(sides), "b")
+    sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(rows, "a long, b long")
+
+
 def with_pivots(member: DataFrame) -> DataFrame:
     """region, node, n, pivot: each region's most central node, for its members.
 
@@ -337,7 +395,7 @@ def ball_links(balls: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     return meetings.groupBy("pivot", "i", "j").applyInPandas(join, "a long, b long")
 
 
-def region_pairs(member: DataFrame) -> DataFrame:
+def region_pairs(member: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Different pairs of members of small regions whose sizes allow a link."""
     listed = member.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
     pairs = listed.select(F.posexplode("all").alias("at", "x"), "all").select(
@@ -345,57 +403,56 @@ def region_pairs(member: DataFrame) -> DataFrame:
     )
     low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     return (
-        pairs.where(100 * low >= PERCENT * high)
+        pairs.where(100 * low >= percent * high)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .where("a <> b")
         .distinct()
     )
 
 
-def links(documents: DataFrame, nodes: DataFrame, levels_percent: int = PERCENT) -> DataFrame:
+def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links between nodes that join the same nodes together as all links would."""
-    percent = levels_percent
+    wide = 2 * percent - 100
     kept = nodes.where("node IS NOT NULL")
-    single = kept.groupBy("node", "n").agg(F.first("first").alias("first"))
-    member = cut_lineage(memberships(single))
-    asked = member.select("node").distinct()
-    named = (
-        kept.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of"))
+    single = kept.groupBy("node", "n").agg(
+        F.first("first").alias("first"), F.first("shape").alias("shape")
     )
-    sets = cut_lineage(set_rows(documents, named.select("of")).join(asked, "node", "left_semi"))
+    single = cut_lineage(single)
+    shapes = single.select("node", "n", "shape")
+    member = cut_lineage(memberships(single.select("node", "n", "first")))
     found: DataFrame | None = None
     while True:
-        large = with_pivots(member)
+        placed = cut_lineage(with_pivots(member))
         pairs = (
-            large.where("node <> pivot")
-            .where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+            placed.where("node <> pivot")
             .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
             .distinct()
         )
-        placed = cut_lineage(large)
+        # what isn't near by sizes and shapes is beyond twice the limit
+        pairs = cut_lineage(near_pairs(pairs, shapes, wide))
+        sets = cut_lineage(set_rows(documents, kept, pairs))
         measured = cut_lineage(pair_distances(pairs, sets))
         stars = measured.where(_within(percent)).select("a", "b")
         # twice the limit: beyond it no member can be linked to one within the limit
-        ball = measured.where(100 * F.col("common") >= (2 * percent - 100) * F.col("either"))
+        ball = measured.where(_within(wide))
         ball = ball.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "common", "either")
         ball = ball.join(single.select("node", "n"), "node")
-        round_links = stars.unionByName(ball_links(ball, sets, percent))
-        # pairs whose sizes forbid a link have no distance, and lie beyond
+        round_links = cut_lineage(stars.unionByName(ball_links(ball, sets, percent)))
         far = placed.where("node <> pivot").join(
             measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", "either"),
             ["node", "pivot"], "left",
         )
         inside = F.coalesce(_within(percent), F.lit(False))
-        beyond = ~F.coalesce(
-            100 * F.col("common") >= (2 * percent - 100) * F.col("either"), F.lit(False)
-        )
+        beyond = ~F.coalesce(_within(wide), F.lit(False))
         rest = far.where(~inside).select("region", "node", "n", beyond.alias("beyond"))
         open_regions = rest.groupBy("region").agg(
             F.max("beyond").alias("any_beyond"), F.count("*").alias("left")
         ).where("any_beyond AND left > 1")
         rest = cut_lineage(rest.join(open_regions, "region").select("region", "node", "n", "left"))
         small = rest.where(F.col("left") <= SMALL_REGION)
-        close = pair_distances(region_pairs(small), sets).where(_within(percent)).select("a", "b")
+        close = cut_lineage(near_pairs(region_pairs(small, percent), shapes, percent))
+        sets = set_rows(documents, kept, close)
+        close = pair_distances(close, sets).where(_within(percent)).select("a", "b")
         round_links = cut_lineage(round_links.unionByName(close))
         found = round_links if found is None else found.unionByName(round_links)
         member = cut_lineage(rest.where(F.col("left") > SMALL_REGION).select("region", "node", "n"))
