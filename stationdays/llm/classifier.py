@@ -90,9 +90,10 @@ class Model:
     pair_tables: list[np.ndarray] = field(default_factory=list)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack(
-            [np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)]
-        ).reshape(len(x), len(self.cuts))
+        found = np.empty((len(x), len(self.cuts)), np.int64)
+        for j, cuts in enumerate(self.cuts):
+            found[:, j] = np.searchsorted(cuts, x[:, j], side="left")
+        return found
 
     def logits(self, bins: np.ndarray) -> np.ndarray:
         total = np.full(len(bins), self.base)

@@ -45,8 +45,8 @@ from stationdays.session import cut_lineage
 WIDTH = 5
 PERCENT = 80
 
-SKETCH_BITS = 18
-SMALL_REGION = 24
+SKETCH_BITS = 20
+SMALL_REGION = 64
 """Regions of up to so many members are joined pair by pair after the first round."""
 BLOCK_SHINGLES = 400_000
 """Balls with more shingles than this in all are joined in blocks of about so many."""
@@ -117,9 +117,14 @@ def shingle_counts(documents: DataFrame) -> np.ndarray:
 
 
 def rarity_levels(counts: np.ndarray) -> np.ndarray:
-    """0 for values that come no more often than most, then more by powers of 2."""
-    usual = max(2.0 * float(counts.mean()), 1.0)
-    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
+    """0 for values that come no more often than chance has it, then more by powers of 2.
+
+    A value stands for many shingles, whose number varies by about its square root; what
+    exceeds that four times is due to a shingle that comes often.
+    """
+    usual = max(float(counts.mean()), 1.0)
+    excess = (counts - usual) / (4 * np.sqrt(usual))
+    return np.maximum(np.ceil(np.log2(np.maximum(excess, 1e-9))) + 1, 0).astype(np.uint8)
 
 
 def first_fifth(shingles: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -499,7 +504,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         classes.where("component IS NULL").select("document").distinct()
     )
     own = documents.withColumn("__document", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    kept = own.join(stay, F.col("__document") == F.col("document"), "left_semi")
+    stay = stay.withColumnRenamed("document", "__stay")
+    kept = own.join(stay, F.col("__document") == F.col("__stay"), "left_semi")
     again = classes.groupBy("document").agg(F.count("*").alias("rows")).where("rows > 1")
     if not again.isEmpty():
         kept = kept.dropDuplicates(["__document"])

@@ -138,7 +138,7 @@ def suffix_order(data: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.nd
     for i in range(width):
         # nothing counts after the string's end
         inside = np.zeros(n, np.uint64)
-        inside[: n - i] = data[i:]
+        inside[: max(n - i, 0)] = data[i:]
         key = key << np.uint64(9) | np.where(left >= i, inside, 0).astype(np.uint64)
     tie = np.where(left < width, owner, 0)
     order = np.lexsort((tie, key))
