@@ -17,9 +17,8 @@ import pyarrow as pa
 
 from stationdays.llm.words import LOWER, RangeHash, find_words, runs
 
-MOST_KNOWN = 3_000_000
+MOST_KNOWN = 2_000_000
 """Pieces a worker remembers before it starts afresh; about 40 bytes each."""
-BATCH_BYTES = 8 << 20
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -129,7 +128,7 @@ def encode_batch(
     """For runs of a batch's rows: which rows, their ids each with `end` after, starts."""
     encode = encoder(vocabulary_place(vocabulary))
     texts = utf8(batch.column(text))
-    for rows in runs([len(t) for t in texts], BATCH_BYTES):
+    for rows in runs([len(t) for t in texts]):
         ids, starts = encode(texts[rows])
         ids = np.insert(ids, starts[1:], end)
         yield rows, ids, starts + np.arange(len(starts))

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 """Texts are worked on in runs of about so many bytes; one long text may exceed it."""
 
 _BASE = 0x9E3779B97F4A7C15
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = 1 << n.bit_length()
+        size = n + n // 4
         steps = np.full(size, _BASE, np.uint64)
         steps[0] = 1
         _powers = np.cumprod(steps, dtype=np.uint64)
