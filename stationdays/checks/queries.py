@@ -407,7 +407,7 @@ def count_reconcile(spark, sf_dir):
 
 @query
 def count_reconcile_matched(spark, sf_dir):
-    """Only keys that have a reference; here by customer segment and nation."""
+    """Only keys that have a reference; here by nation."""
     customers = table(spark, sf_dir, "customer")
     counts = customers.groupBy("c_nationkey").agg(F.count("*").alias("occurrences"))
     reference = (

@@ -11,6 +11,7 @@ from stationdays.functions.columns import (
     tail_code,
     to_celsius,
     undefined_as_null,
+    is_measured,
     without_sentinel,
 )
 
@@ -26,6 +27,7 @@ __all__ = [
     "stripped",
     "tail_code",
     "to_celsius",
+    "is_measured",
     "undefined_as_null",
     "without_sentinel",
 ]

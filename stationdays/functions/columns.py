@@ -32,9 +32,9 @@ def without_sentinel(value: Column, sentinel: float | None) -> Column:
 
 
 def parse_number(text: Column, sentinel: float | None = None) -> Column:
-    """Double from untrusted text; empty, malformed or sentinel text is NULL."""
+    """Double from untrusted text; empty, malformed, too large or sentinel text is NULL."""
     # the cast ignores blanks around the number by itself
-    number = F.when(text.rlike(NUMBER_CHARACTERS), text.try_cast("double"))
+    number = F.when(text.rlike(NUMBER_CHARACTERS), undefined_as_null(text.try_cast("double")))
     return without_sentinel(number, sentinel)
 
 
@@ -87,8 +87,14 @@ def percent(part: Column, whole: Column, places: int | None = None) -> Column:
 
 
 def undefined_as_null(value: Column) -> Column:
-    """NaN becomes NULL, so 'undefined' is written as null."""
-    return F.when(~F.isnan(value), value)
+    """NaN and infinities become NULL, so 'undefined' is written as null."""
+    # NaN compares as greater than any number
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def is_measured(value: Column) -> Column:
+    """True for a number; the first condition is one that files can be skipped by."""
+    return value.isNotNull() & undefined_as_null(value).isNotNull()
 
 
 def scan_price(scanned_bytes: Column, rate_per_tebibyte: float, places: int = 6) -> Column:

@@ -225,7 +225,12 @@ def composition_effect(
         point_estimate(network)
         .withColumn("found", found)
         .selectExpr("* EXCEPT (found)", "found.*")
-        .selectExpr("*", "ci_lower > 0 OR ci_upper < 0 AS excludes_zero")
+        .selectExpr(
+            "*",
+            # an undefined interval excludes nothing; NaN would compare as above 0
+            "CASE WHEN NOT isnan(ci_lower) AND NOT isnan(ci_upper)"
+            " THEN ci_lower > 0 OR ci_upper < 0 END AS excludes_zero",
+        )
     )
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationdays.functions import is_measured
 from stationdays.operators.questions import distinct_count
 
 
@@ -22,10 +23,10 @@ def station_year_partials(
     year: str = "year",
     value: str = "temp_c",
 ) -> DataFrame:
-    """(station, year, total, n) of the rows with a value, in no order."""
+    """(station, year, total, n) of the rows with a finite value, in no order."""
     measured = F.col(value)
     return (
-        observations.where(measured.isNotNull())
+        observations.where(is_measured(measured))
         .groupBy(F.col(station).alias("station"), F.col(year).alias("year"))
         .agg(F.sum(measured).alias("total"), F.count(measured).alias("n"))
     )

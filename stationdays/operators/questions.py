@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationdays.functions import percent, ratio, tail_code
+from stationdays.functions import is_measured, percent, ratio, tail_code
 from stationdays.schema import EVENT_FLAGS
 
 
@@ -106,7 +106,7 @@ def annual_temperature(
     """Mean, spread and extremes by year over whatever stations reported."""
     measured = F.col(value)
     return (
-        observations.where(measured.isNotNull())
+        observations.where(is_measured(measured))
         .groupBy(F.col(year).alias("year"))
         .agg(
             F.count("*").alias("station_days"),

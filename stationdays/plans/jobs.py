@@ -58,11 +58,16 @@ def build_warehouse(
         .withColumn("parquet", F.concat(F.lit("year="), F.col("year")))
     )
     stored = warehouse.open_observations(spark, folder, view=None)
+    # without any archive left there is nothing to checksum: entries say so
+    kept = {year for _, year, _ in archive.list_archives(archives)} & set(years)
+    checksums = (
+        manifest.file_manifest(spark, archives, manifest.archive_glob(kept))
+        if kept
+        else spark.createDataFrame([], "file string, size_bytes long, sha256 string")
+    )
     entries = manifest.manifest_entries(
         requested.join(tables, "year").withColumn("cached", ~fresh),
-        manifest.archive_provenance(
-            manifest.file_manifest(spark, archives, manifest.archive_glob(years))
-        ),
+        manifest.archive_provenance(checksums),
         manifest.year_sizes(stored.where(fresh)),
     )
     manifest.append_manifest(entries, manifest_folder, generation=time.time_ns())

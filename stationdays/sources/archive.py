@@ -59,7 +59,8 @@ def list_archives(folder: str) -> list[tuple[str, int, int]]:
     """(uri, year, bytes) of every archive below a folder."""
     filesystem, root = filesystem_and_path(folder)
     found = []
-    for info in filesystem.get_file_info(pafs.FileSelector(root, recursive=True)):
+    below = pafs.FileSelector(root, recursive=True, allow_not_found=True)
+    for info in filesystem.get_file_info(below):
         named = ARCHIVE_NAME.match(info.base_name)
         if named and info.type == pafs.FileType.File:
             below = info.path.removeprefix(root.rstrip("/")).lstrip("/")
@@ -71,16 +72,33 @@ def slices_for(size: int, slice_bytes: int) -> int:
     return max(1, min(MOST_SLICES, -(-size // slice_bytes)))
 
 
+def header_names(lines: Iterable[str]) -> list[str] | None:
+    """Names of the first record that isn't blank; a byte order mark before it is no name.
+
+    Both readers of members bind columns by this. None if there is no record.
+    """
+    records = csv.reader(lines)
+    return next((record for record in records if any(record)), None)
+
+
+def without_mark(lines: Iterable[str]) -> Iterator[str]:
+    lines = iter(lines)
+    first = next(lines, None)
+    if first is not None:
+        yield first.removeprefix("\ufeff")
+        yield from lines
+
+
 def member_records(stream: io.TextIOBase, columns: list[str]) -> Iterator[tuple]:
     """Records of one CSV file as tuples of the wanted columns, found by name.
 
     A column the header lacks, or a record too short to reach it, gives None.
     """
-    records = csv.reader(stream)
-    header = next(records, None)
+    lines = without_mark(stream)
+    header = header_names(lines)
     if header is None:
         return
-    header[0] = header[0].lstrip("﻿")
+    records = csv.reader(lines)
     position = {name: i for i, name in enumerate(header)}
     absent = len(header)
     wanted = [position.get(c, absent) for c in columns]
@@ -105,8 +123,11 @@ def tables_of_records(records: Iterable[tuple], columns: list[str]) -> Iterator[
 
 def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
     """The wanted columns of a regular CSV file, None if it is not regular."""
-    names = content.split(b"\n", 1)[0].split(b",")
-    if len(set(names)) != len(names):
+    content = content.removeprefix(b"\xef\xbb\xbf")
+    names = header_names(as_text(io.BytesIO(content)))
+    # the reader below would take another of two columns with one name, and blank
+    # records before the header for the header
+    if names is None or len(set(names)) != len(names) or content[:1] in (b"\r", b"\n", b" "):
         return None
     try:
         return pacsv.read_csv(

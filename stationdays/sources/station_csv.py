@@ -23,17 +23,21 @@ from stationdays.sources.files import filesystem_and_path, ship_by_value
 BROADCAST_FILES = 200_000
 
 
+MARK, BLANK = b"\xef\xbb\xbf", b" \t\r\n"
+
+
 def first_line(uri: str, chunk: int = 4096) -> str:
+    """The first line that isn't blank, as Spark's reader takes it for the header."""
     filesystem, path = filesystem_and_path(uri)
     head = b""
     with filesystem.open_input_stream(path) as stream:
-        while b"\n" not in head:
+        while b"\n" not in head.lstrip(MARK + BLANK):
             block = stream.read(chunk)
             if not block:
                 break
             head += block
-    line = head.split(b"\n", 1)[0].decode("utf-8", errors="replace")
-    return line.lstrip("﻿").rstrip("\r")
+    line = head.removeprefix(MARK).lstrip(BLANK).split(b"\n", 1)[0].decode("utf-8", errors="replace")
+    return line.rstrip("\r")
 
 
 def header_lines(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

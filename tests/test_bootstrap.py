@@ -29,53 +29,61 @@ def effect(spark, rows, resamples=200, seed=42, method="blocks"):
     return composition_effect(days(spark, rows), resamples, seed, method).first().asDict()
 
 
-def newcomers(n_old, n_new, old=lambda i: 10.0 + i % 7, new=30.0, repeat=1):
-    rows = [(f"S{i:03d}", y, old(i)) for i in range(n_old) for y in (2020, 2024)]
-    return (rows + [(f"N{i:03d}", 2024, new) for i in range(n_new)]) * repeat
+def newcomers(n_old, n_new, old=lambda i: 2.5 * (i % 6), new=-9.0, repeat=1):
+    rows = [(f"S{i:03d}", y, old(i)) for i in range(n_old) for y in (2011, 2015)]
+    return (rows + [(f"N{i:03d}", 2015, new) for i in range(n_new)]) * repeat
 
 
-HAND = [("A", 2020, 10.0), ("B", 2020, 0.0), ("A", 2024, 20.0), ("B", 2024, 0.0),
-        ("C", 2024, 100.0)]
+HAND = [("Q", 2011, 3.0), ("Q", 2011, 5.0), ("R", 2011, 7.0), ("Q", 2015, 6.0), ("R", 2015, 12.0),
+        ("S", 2015, -6.0)]
 
 
 @pytest.mark.parametrize("method", METHODS)
 def test_by_hand(spark, method):
     got = effect(spark, HAND, method=method)
-    assert got["naive_change"] == pytest.approx(35.0)
-    assert got["balanced_change"] == pytest.approx(5.0)
-    assert got["effect"] == pytest.approx(30.0)
-    assert got["share_of_naive"] == pytest.approx(30 / 35)
+    assert got["naive_change"] == pytest.approx(-1.0)
+    assert got["balanced_change"] == pytest.approx(4.0)
+    assert got["effect"] == pytest.approx(-5.0)
+    assert got["share_of_naive"] == pytest.approx(5.0)
     assert (got["n_stations"], got["n_stations_balanced"]) == (3, 2)
-    assert (got["first_year"], got["last_year"]) == (2020, 2024)
+    assert (got["first_year"], got["last_year"]) == (2011, 2015)
     # some replicates miss both panel stations: undefined, so dropped
     assert 0 < got["n_resamples"] < 200
 
 
 def test_no_effect_in_a_balanced_network(spark):
-    got = effect(spark, [("A", 2020, 10.0), ("B", 2020, 20.0), ("A", 2024, 12.0),
-                         ("B", 2024, 22.0)])
+    got = effect(spark, [(s, y, t + y % 7) for s, t in (("Q", -4.0), ("R", 1.5), ("S", 8.25))
+                         for y in (2011, 2015)])
     assert got["effect"] == pytest.approx(0.0)
-    assert got["n_stations"] == got["n_stations_balanced"] == 2
+    assert got["n_stations"] == got["n_stations_balanced"] == 3
 
 
 def test_rows_weigh_not_stations(spark):
-    rows = [(s, y, t) for y in (2020, 2024) for s, t in (("A", 0.0), ("A", 0.0), ("B", 30.0))]
+    rows = [(s, y, t) for y in (2011, 2015)
+            for s, t in (("Q", 6.0), ("R", -1.0), ("R", -1.0), ("R", 2.0))]
     got = effect(spark, rows)
     assert got["naive_change"] == pytest.approx(0.0) and got["effect"] == pytest.approx(0.0)
     assert got["share_of_naive"] is None and got["share_ci_lower"] is None
 
 
 def test_missing_values_do_not_make_a_year(spark):
-    rows = HAND + [(s, 2025, None) for s in "ABC"]
-    assert effect(spark, rows)["last_year"] == 2024
+    rows = HAND + [(s, 2019, None) for s in "QRS"]
+    assert effect(spark, rows)["last_year"] == 2015
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_values_that_are_no_numbers_change_nothing(spark, method):
+    rows = newcomers(20, 6)
+    odd = [("S000", 2015, float("nan")), ("N001", 2015, float("inf"))]
+    assert effect(spark, rows + odd, method=method) == effect(spark, rows, method=method)
 
 
 @pytest.mark.parametrize("method", METHODS)
 def test_nothing_to_compare(spark, method):
-    one_year = effect(spark, [("A", 2020, 1.0), ("B", 2020, 3.0)], method=method)
+    one_year = effect(spark, [("Q", 2011, 2.0), ("R", 2011, 8.0)], method=method)
     assert one_year["naive_change"] == one_year["effect"] == 0.0
-    assert one_year["share_of_naive"] is None and one_year["first_year"] == 2020
-    nothing = effect(spark, [("A", 2020, None)], method=method)
+    assert one_year["share_of_naive"] is None and one_year["first_year"] == 2011
+    nothing = effect(spark, [("Q", 2011, None)], method=method)
     assert nothing["n_stations"] == nothing["n_resamples"] == 0
     assert nothing["effect"] is None and nothing["ci_lower"] is None
     assert nothing["first_year"] is None and nothing["excludes_zero"] is None
@@ -83,38 +91,38 @@ def test_nothing_to_compare(spark, method):
 
 @pytest.mark.parametrize("method", METHODS)
 def test_interval_brackets_the_estimate(spark, method):
-    got = effect(spark, newcomers(60, 20), 500, method=method)
+    got = effect(spark, newcomers(45, 16), 400, method=method)
     assert got["ci_lower"] <= got["effect"] <= got["ci_upper"]
-    assert got["n_resamples"] == 500
+    assert got["n_resamples"] == 400
 
 
 def test_zero_effect(spark):
-    got = effect(spark, newcomers(40, 0, old=lambda i: 10.0 + i % 5), 500)
+    got = effect(spark, newcomers(36, 0, old=lambda i: 1.0 * (i % 9)), 400)
     assert got["effect"] == pytest.approx(0.0)
     assert got["ci_lower"] <= 0 <= got["ci_upper"] and not got["excludes_zero"]
 
 
 @pytest.mark.parametrize("method", METHODS)
 def test_the_station_is_the_unit(spark, method):
-    many = effect(spark, newcomers(110, 20, lambda i: 10.0 + i % 11, 40.0), 800, method=method)
-    few = effect(spark, newcomers(11, 2, lambda i: 10.0 + i % 11, 40.0, 10), 800, method=method)
+    many = effect(spark, newcomers(96, 24, lambda i: 4.0 + i % 8, 33.0), 600, method=method)
+    few = effect(spark, newcomers(12, 3, lambda i: 4.0 + i % 8, 33.0, 8), 600, method=method)
     assert few["ci_upper"] - few["ci_lower"] > many["ci_upper"] - many["ci_lower"]
 
 
 @pytest.mark.parametrize("method", METHODS)
 def test_seeds(spark, method):
-    rows = newcomers(30, 1, lambda i: 10.0 + i % 4, 50.0)
-    a = effect(spark, rows, 300, 7, method)
-    b = effect(spark, list(reversed(rows)), 300, 7, method)
-    c = effect(spark, rows, 300, 8, method)
+    rows = newcomers(28, 2, lambda i: 7.0 + i % 3, -20.0)
+    a = effect(spark, rows, 250, 11, method)
+    b = effect(spark, list(reversed(rows)), 250, 11, method)
+    c = effect(spark, rows, 250, 12, method)
     assert (a["ci_lower"], a["ci_upper"]) == pytest.approx((b["ci_lower"], b["ci_upper"]))
     assert a["effect"] == pytest.approx(c["effect"])
     assert (a["ci_lower"], a["ci_upper"]) != pytest.approx((c["ci_lower"], c["ci_upper"]))
 
 
 def test_share_is_resampled(spark):
-    rows = days(spark, newcomers(90, 25, lambda i: 10.0 + i % 9, 45.0))
-    point = composition_effect(rows, 800)
+    rows = days(spark, newcomers(70, 21, lambda i: 2.0 + i % 10, 61.0))
+    point = composition_effect(rows, 600)
     got, summary = point.first().asDict(), effect_summary(point).first().asDict()
     assert summary["share_pct_ci95_lower"] <= summary["share_pct"] <= summary["share_pct_ci95_upper"]
     derived = (100 * got["ci_lower"] / got["naive_change"], 100 * got["ci_upper"] / got["naive_change"])
@@ -132,8 +140,8 @@ def panel_values(rows, stations):
     out = np.zeros((len(stations), 8))
     for station, year, value in rows:
         i = stations.index(station)
-        out[i, 0 if year == 2020 else 2] += value
-        out[i, 1 if year == 2020 else 3] += 1
+        out[i, 0 if year == 2011 else 2] += value
+        out[i, 1 if year == 2011 else 3] += 1
     member = (out[:, 1] > 0) & (out[:, 3] > 0)
     out[:, 4:] = out[:, :4] * member[:, None]
     return out
@@ -156,7 +164,7 @@ def digest(text):
 
 
 def test_slots_against_a_plain_loop(spark):
-    rows = newcomers(40, 9)
+    rows = newcomers(37, 11)
     stations = sorted({r[0] for r in rows}, key=digest)
     values, n = panel_values(rows, stations), len(stations)
     sums = [sum(values[int(digest(f"42:{r}:{s}")[:15], 16) % n] for s in range(n))
@@ -165,7 +173,7 @@ def test_slots_against_a_plain_loop(spark):
 
 
 def test_slots_joined_by_shuffle_give_the_same(spark, monkeypatch):
-    network = station_network(days(spark, newcomers(40, 9)))
+    network = station_network(days(spark, newcomers(37, 11)))
     small = bootstrap_draws(network, 50, 42, "slots").orderBy("replicate").toPandas()
     monkeypatch.setattr(bootstrap, "BROADCAST_STATIONS", 1)
     monkeypatch.setattr(bootstrap, "DRAWS_PER_TASK", 100)
@@ -176,7 +184,7 @@ def test_slots_joined_by_shuffle_give_the_same(spark, monkeypatch):
 @pytest.mark.parametrize("per_block", [1024, 4])
 def test_blocks_against_a_plain_loop(spark, monkeypatch, per_block):
     monkeypatch.setattr(bootstrap, "STATIONS_PER_BLOCK", per_block)
-    rows = newcomers(40, 9)
+    rows = newcomers(37, 11)
     stations = sorted({r[0] for r in rows})
     values, bits = panel_values(rows, stations), block_bits(len(stations))
     block = np.array([int(digest(s)[:4], 16) >> (16 - bits) for s in stations])

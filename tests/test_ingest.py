@@ -31,12 +31,12 @@ def flags_of(row: dict) -> list[str]:
 
 def test_a_comma_inside_a_quoted_name_shifts_nothing(spark, tmp_path):
     row = only(ingest_archive(spark, tmp_path, {}))
-    assert row["name"] == "JAN MAYEN NOR NAVY, NO"
-    assert flags_of(row) == ["fog", "rain_drizzle", "snow_ice_pellets"]
-    assert row["station"] == "01001099999"
+    assert row["name"] == DAY["NAME"]
+    assert flags_of(row) == ["rain_drizzle", "thunder"]
+    assert row["station"] == DAY["STATION"]
     assert str(row["date"]) == "2024-01-02"
-    assert row["temp_f"] == 33.3 and row["prcp_in"] == 0.01 and row["visib_mi"] == 15.5
-    assert (row["latitude"], row["longitude"], row["elevation"]) == (70.93, -8.67, 9.0)
+    assert row["temp_f"] == 51.7 and row["prcp_in"] == 0.2 and row["visib_mi"] == 6.0
+    assert (row["latitude"], row["longitude"], row["elevation"]) == (-3.25, 101.5, 412.0)
 
 
 def test_schema_is_the_stored_one(spark, tmp_path):
@@ -106,7 +106,7 @@ def test_the_year_is_the_archives(spark, tmp_path):
 
 def test_a_bad_date_keeps_the_row(spark, tmp_path):
     row = only(ingest_archive(spark, tmp_path, {"DATE": "not a day"}))
-    assert row["date"] is None and row["temp_f"] == 33.3
+    assert row["date"] is None and row["temp_f"] == 51.7
 
 
 def test_members_that_are_no_csv_files_are_ignored(spark, tmp_path):
@@ -116,6 +116,18 @@ def test_members_that_are_no_csv_files_are_ignored(spark, tmp_path):
     assert archive.read_archives(spark, str(tmp_path)).count() == 1
 
 
+@pytest.mark.parametrize("days", [1, 400])
+@pytest.mark.parametrize("before", [b"", b"\n\r\n", b"\xef\xbb\xbf", b"\xef\xbb\xbf\n"])
+def test_the_size_of_a_member_changes_no_header(spark, tmp_path, days, before):
+    header = [*HEADER, "STATION"]  # of two columns with one name the last counts
+    content = station_file(*[{"STATION": "x"}] * days, header=header)
+    write_archive(tmp_path / "2024.tar.gz", {"a.csv": before + content,
+                                            "b.csv": before + station_file(*[{"STATION": "x"}] * days)})
+    rows = ingest.to_observations(archive.read_archives(spark, str(tmp_path)))
+    assert {(r["station"], r["name"], r["count"]) for r in rows.groupBy("station", "name").count().collect()} == {
+        ("x", DAY["NAME"], 2 * days)}
+
+
 def test_columns_are_found_by_name(spark, tmp_path):
     swapped = [c for c in reversed(HEADER) if c != "WDSP"]
     write_archive(tmp_path / "2024.tar.gz", {
@@ -124,7 +136,7 @@ def test_columns_are_found_by_name(spark, tmp_path):
     })
     a, b = ingest.to_observations(archive.read_archives(spark, str(tmp_path))).orderBy(
         "station").collect()
-    assert b["wdsp_kn"] is None and a["wdsp_kn"] == 13.1
+    assert b["wdsp_kn"] is None and a["wdsp_kn"] == 2.5
     assert [a[c] for c in OBSERVATIONS.names if c not in ("station", "wdsp_kn")] == [
         b[c] for c in OBSERVATIONS.names if c not in ("station", "wdsp_kn")]
 
@@ -249,10 +261,10 @@ def test_csv_files_with_different_headers(spark, tmp_path, monkeypatch, broadcas
     got = {r["station"]: r.asDict() for r in rows.collect()}
     assert sorted(got) == ["a", "b", "c"]
     assert [got[s]["year"] for s in "abc"] == [2024, 2024, 2023]
-    assert [got[s]["wdsp_kn"] for s in "abc"] == [13.1, None, 13.1]
+    assert [got[s]["wdsp_kn"] for s in "abc"] == [2.5, None, 2.5]
     for s in "abc":
-        assert got[s]["name"] == DAY["NAME"] and got[s]["temp_f"] == 33.3
-        assert flags_of(got[s]) == ["fog", "rain_drizzle", "snow_ice_pellets"]
+        assert got[s]["name"] == DAY["NAME"] and got[s]["temp_f"] == 51.7
+        assert flags_of(got[s]) == ["rain_drizzle", "thunder"]
 
 
 def test_headers_quoted_differently_are_one_layout(spark, tmp_path):

@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import differences
+from stationdays.checks.oracle import ORACLE_SQL
+from stationdays.checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"file_manifest", "column_scan_cost", "bootstrap_ci_blocks"}
@@ -23,11 +25,12 @@ def tables():
 
 
 def test_every_query_has_sql_but_these():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE_SQL) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, tables, name):
     result = entry_points.queries()[name](spark, SMALL)
     assert differences(result, tables, entry_points.oracle_sql()[name]) == []

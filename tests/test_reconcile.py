@@ -7,6 +7,7 @@ from conftest import records
 from stationdays.operators.reconcile import count_reconcile, reconcile_summary
 from stationdays.plans.jobs import EARLIER_COUNTS, counts_table, earlier_counts
 
+# The published counts.
 PUBLISHED = {"rain_drizzle": 983613, "snow_ice_pellets": 237933, "fog": 221063,
              "thunder": 176911, "hail": 4516, "tornado_funnel_cloud": 207}
 
