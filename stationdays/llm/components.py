@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationdays.session import cut_lineage
+from stationdays.llm.kept import cut_lineage
 
 
 def _state(edges: DataFrame) -> tuple:

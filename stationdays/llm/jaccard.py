@@ -16,7 +16,9 @@ leaves it a partner; regions that stay large are divided again.
    Two others can be linked only if their distances to the pivot differ by at most t:
    the ball of radius 2 t around a pivot is joined on its own, window by window; what lies
    beyond, with the border between t and 2 t, is the region of the next round.
-4. Regions that are small after a round are joined pair by pair.
+4. Regions that are small after a round are joined pair by pair, and so are, block by block,
+   those that are still large after ROUNDS rounds. Pairs whose shapes, images of sets in a
+   space of few counts, are further apart than a link allows are never looked at closely.
 
 Links within the class that is already known are not looked for; all links between
 classes are. The classes are then merged along all links found.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from stationdays.llm.components import components
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import find_words, mix, runs, window_hashes, windows_of, word_hashes
-from stationdays.session import cut_lineage
+from stationdays.llm.kept import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
@@ -48,6 +50,9 @@ PERCENT = 80
 SKETCH_BITS = 20
 SMALL_REGION = 64
 """Regions of up to so many members are joined pair by pair after the first round."""
+ROUNDS = 2
+"""Times that large regions are divided by pivots; what is left after that are texts far
+from one another and from every pivot, which are compared block by block."""
 BLOCK_SHINGLES = 400_000
 """Balls with more shingles than this in all are joined in blocks of about so many."""
 
@@ -415,6 +420,60 @@ def region_pairs(member: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def block_pairs(placed: DataFrame, shapes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Different pairs of nodes of one pivot's regions whose shapes allow a link.
+
+    Every two blocks of bounded size of a pivot's nodes meet in a task of their own.
+    """
+    own = placed.select("pivot", "node").distinct().join(shapes, "node")
+    sized = own.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = own.join(sized, "pivot").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
+    ).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    meetings = dealt.select(
+        "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "node", "n", "shape",
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        # one size of shape at a time, so that shapes are rows of one array
+        frame = frame.sort_values("n", ignore_index=True)
+        sizes, nodes = frame["n"].to_numpy(), frame["node"].to_numpy()
+        block, width = frame["block"].to_numpy(), frame["shape"].map(len).to_numpy()
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        shapes_of = [np.frombuffer(s, np.uint8).astype(np.int32) for s in frame["shape"]]
+        folded: dict[int, np.ndarray] = {}
+        for size in np.unique(width).tolist():
+            # shapes of twice the size, folded, may still be near enough in size
+            rows = [
+                s if len(s) == size else s.reshape(-1, len(s) // size).sum(1)
+                for s in shapes_of if len(s) in (size, 2 * size)
+            ]
+            folded[size] = np.array(rows)
+        places = {s: np.flatnonzero((width == s) | (width == 2 * s)) for s in folded}
+        for x in range(len(frame)):
+            size = int(width[x])
+            at = places[size]
+            mine = folded[size][np.searchsorted(at, x)]
+            able = (at > x) & (100 * sizes[x] >= percent * sizes[at])
+            if i != j:
+                able &= block[at] != block[x]
+            at, rows = at[able], folded[size][able]
+            least = np.abs(rows - mine).sum(1)
+            near = at[200 * least <= (100 - percent) * (sizes[x] + sizes[at] + least)]
+            found_a.append(np.full(len(near), nodes[x]))
+            found_b.append(nodes[near])
+        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    pairs = meetings.groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(
+        "a <> b"
+    ).distinct()
+
+
 def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links between nodes that join the same nodes together as all links would."""
     wide = 2 * percent - 100
@@ -426,7 +485,7 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
     shapes = single.select("node", "n", "shape")
     member = cut_lineage(memberships(single.select("node", "n", "first")))
     found: DataFrame | None = None
-    while True:
+    for _ in range(ROUNDS):
         placed = cut_lineage(with_pivots(member))
         pairs = (
             placed.where("node <> pivot")
@@ -463,6 +522,10 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
         member = cut_lineage(rest.where(F.col("left") > SMALL_REGION).select("region", "node", "n"))
         if member.isEmpty():
             return found
+    close = cut_lineage(block_pairs(with_pivots(member), shapes, percent))
+    sets = set_rows(documents, kept, close)
+    last = pair_distances(close, sets).where(_within(percent)).select("a", "b")
+    return found.unionByName(last)
 
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:

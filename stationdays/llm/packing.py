@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationdays.llm.tokens import crc32, encode_batch
-from stationdays.session import cut_lineage
+from stationdays.llm.kept import cut_lineage
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0

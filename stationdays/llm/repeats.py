@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import RangeHash, joined, mix, runs
-from stationdays.session import cut_lineage
+from stationdays.llm.kept import cut_lineage
 
 LEAST = 200
 GRAM = 32

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationdays.llm.tokens import crc32, encode_batch
-from stationdays.session import cut_lineage, scratch_folder
+from stationdays.llm.kept import cut_lineage
+from stationdays.session import scratch_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1

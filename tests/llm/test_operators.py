@@ -287,9 +287,10 @@ def _near_copies(seed, groups=6, each=14):
     return rows
 
 
-@pytest.mark.parametrize("small_region, block", [(64, 400_000), (2, 300)])
-def test_jaccard_classes_against_all_pairs(frame, monkeypatch, small_region, block):
+@pytest.mark.parametrize("small_region, block, rounds", [(64, 400_000, 2), (2, 300, 2), (1, 500, 1)])
+def test_jaccard_classes_against_all_pairs(frame, monkeypatch, small_region, block, rounds):
     monkeypatch.setattr(jaccard, "SMALL_REGION", small_region)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     rows = _near_copies(1)
     got = jaccard.jaccard_components(frame(rows)).collect()
