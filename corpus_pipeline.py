@@ -28,13 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     let_tasks_import(spark)
     model = classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = classifier.score_documents(docs, model)
-    return scored.where(F.col("score") >= classifier.THRESHOLD).select(*docs.columns)
+    scored = classifier.score_documents(docs, model, "__score")
+    return scored.where(F.col("__score") >= classifier.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share, and their new lengths."""
-    kept = lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    kept = lines.dedup_lines(docs, counts=False).withColumn("n_chars", F.char_length("text").cast("long"))
     return kept.select(*docs.columns)
 
 

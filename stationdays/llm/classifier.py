@@ -248,8 +248,8 @@ def train(
     return fit(x[order], y[order])
 
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of documents and `score`, one row for each."""
+def score_documents(documents: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """All columns of documents and the score, under a name of its own, one row for each."""
     names = documents.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +257,11 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
             for rows, x in feature_rows(batch):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(model.score(x))], [*names, "score"]
+                    [*part.columns, pa.array(model.score(x))], [*names, score]
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(scored, schema + ", score double")
+    return documents.mapInArrow(scored, schema + f", `{score}` double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

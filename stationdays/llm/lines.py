@@ -53,10 +53,14 @@ def shared_lines(
 
 
 def dedup_lines(
-    documents: DataFrame, least_documents: int = 10, id: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    least_documents: int = 10,
+    id: str = "doc_id",
+    text: str = "text",
+    counts: bool = True,
 ) -> DataFrame:
-    """All rows and columns of documents with the shared lines taken out of the text, and
-    `n_lines`, `n_dropped`.
+    """All rows and columns of documents with the shared lines taken out of the text, and,
+    if asked for, `n_lines` and `n_dropped`, in place of any columns of these names.
 
     Lines that stay keep their places and are joined by line feeds; a text that loses
     them all is empty. Which hashes to drop is brought to a document by its id, so the
@@ -79,15 +83,17 @@ def dedup_lines(
         split_lines(F.col(text)),
         lambda line: ~F.coalesce(F.array_contains("__drop", key_hash(line)), F.lit(False)),
     )
-    names = [c for c in documents.columns if c not in (text, "n_lines", "n_dropped")]
+    given = ("n_lines", "n_dropped") if counts else ()
+    names = [c for c in documents.columns if c not in (text, *given)]
     changed = joined.withColumn(
         "__kept", F.when(F.col("__drop").isNull(), lines).otherwise(kept)
     )
-    return changed.select(
-        *names,
-        F.concat_ws("\n", "__kept").alias(text),
+    numbers = [
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
+    ]
+    return changed.select(
+        *names, F.concat_ws("\n", "__kept").alias(text), *(numbers if counts else [])
     )
 
 

@@ -283,10 +283,10 @@ def copied(documents: DataFrame) -> DataFrame:
         key.alias("__row"), "source", word_count(F.col("text")).alias("size")
     )
     copies = mix_sources(sizes, id="__row").where("copies > 0").select(
-        F.col("__row").alias("__of"), "copies"
+        F.col("__row").alias("__of"), F.col("copies").alias("__copies")
     ).distinct()
     taken = documents.withColumn("__row", key).join(copies, F.col("__row") == F.col("__of"))
     names = documents.columns
-    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select(
+    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(
         *names
     )
