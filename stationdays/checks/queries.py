@@ -115,6 +115,19 @@ def file_manifest(spark, sf_dir):
     )
 
 
+@query
+def nation_file_manifest(spark, sf_dir):
+    """Checksums of files with a line of text each, one per nation of customers."""
+    folder = scratch_folder(spark, "nations")
+    line = "concat_ws('|', c_nationkey, count(*), min(c_name), max(c_name)) AS value"
+    lines = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.expr(line))
+    lines.write.partitionBy("c_nationkey").text(folder)
+    return manifest.file_manifest(spark, folder, "*.txt").select(
+        F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("c_nationkey"),
+        "size_bytes", "sha256",
+    )
+
+
 @query
 def years_to_ingest(spark, sf_dir):
     years = raw_orders(spark, sf_dir).select("year").distinct()
@@ -389,6 +402,20 @@ def bootstrap_ci_blocks(spark, sf_dir):
     )
 
 
+@query
+def bootstrap_block_invariants(spark, sf_dir):
+    """Every station has one value in each of two years and warms by 3.5: whatever is drawn,
+    a replicate has as many draws as there are stations, that change, and no effect."""
+    stations = order_observations(spark, sf_dir).select("station").distinct()
+    days = stations.withColumn("year", F.explode(F.array(F.lit(YEAR - 1), F.lit(YEAR)))).withColumn(
+        "temp_c", F.expr(f"station % 50 + IF(year = {YEAR}, 3.5D, 0D)")
+    )
+    network = bootstrap.station_network(days)
+    sums = bootstrap.replicate_sums(network, RESAMPLES, SEED)
+    found = sums.selectExpr("replicate", "CAST(n0 AS LONG) AS draws", *bootstrap.EFFECT)
+    return rounded(found.select("replicate", "draws", "naive", "effect"), 6)
+
+
 # ------------------------------------------------------------ reconciliation and cost
 
 
@@ -444,3 +471,10 @@ def column_scan_cost(spark, sf_dir):
     )
 
 
+@query
+def scan_cost_arithmetic(spark, sf_dir):
+    """Return flags stand for columns, sums of order keys for their bytes."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("column")).agg(
+        (F.sum("l_orderkey") * 100_000).cast("long").alias("uncompressed")
+    )
+    return scancost.column_scan_cost(sizes, ["A", "N"], RATE)

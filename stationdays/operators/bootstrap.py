@@ -74,7 +74,10 @@ def station_network(
     value: str = "temp_c",
 ) -> Network:
     """First and last are the earliest and latest year with any value; a station is
-    balanced when it has a value in each of the years having any."""
+    balanced when it has a value in each of the years having any.
+
+    The observations are read when this is called, not by a later action: histories are
+    kept with a checkpoint, and years and block sizes are counted from it."""
     histories = (
         station_year_partials(observations, station, year, value)
         .where("station IS NOT NULL AND year IS NOT NULL")
@@ -184,8 +187,14 @@ def bootstrap_draws(
     network: Network, resamples: int = 2000, seed: int = 42, method: str = "blocks"
 ) -> DataFrame:
     """(replicate, naive, balanced, effect, share); undefined replicates have NULLs."""
-    sums = {"blocks": _block_sums, "slots": _slot_sums}[method](network, resamples, seed)
-    return sums.selectExpr("replicate", *EFFECT)
+    return replicate_sums(network, resamples, seed, method).selectExpr("replicate", *EFFECT)
+
+
+def replicate_sums(
+    network: Network, resamples: int = 2000, seed: int = 42, method: str = "blocks"
+) -> DataFrame:
+    """replicate and, over the stations it drew, the sums of t0 ... bn1."""
+    return {"blocks": _block_sums, "slots": _slot_sums}[method](network, resamples, seed)
 
 
 def interval(draws: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Reading folders of already unpacked per-station CSV files.
 
 Spark binds CSV columns by position. The files' columns are free in order, so a
-small job first reads only the header line of each file; the one big scan then
-reads positional text columns with Spark's own CSV reader, and each wanted column
-is taken from the position its file's header gives it. Usually all files share
-one header, and then no join is needed.
+small job first reads only the header line of each file and keeps where in it the
+wanted columns are; the one big scan then reads positional text columns with
+Spark's own CSV reader, and each wanted column is taken from the place its file's
+header gives it. Usually all files agree on the places, and then no join is needed.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationdays.schema import RAW_COLUMNS
+from stationdays.session import scratch_folder
 from stationdays.sources.files import filesystem_and_path, ship_by_value
 
-BROADCAST_FILES = 200_000
-
-
 MARK, BLANK = b"\xef\xbb\xbf", b" \t\r\n"
 
 
-def first_line(uri: str, chunk: int = 4096) -> str:
-    """The first line that isn't blank, as Spark's reader takes it for the header."""
+def first_line(uri: str, chunk: int = 4096, whole_file: bool = False) -> str:
+    """The first line that isn't blank, as Spark's reader takes it for the header.
+
+    Reading files whole, that reader skips empty lines only, and only if they end as the
+    header does; it would take anything else for the header, so such a file is an error.
+    """
     filesystem, path = filesystem_and_path(uri)
     head = b""
     with filesystem.open_input_stream(path) as stream:
@@ -36,19 +38,37 @@ def first_line(uri: str, chunk: int = 4096) -> str:
             if not block:
                 break
             head += block
-    line = head.removeprefix(MARK).lstrip(BLANK).split(b"\n", 1)[0].decode("utf-8", errors="replace")
-    return line.rstrip("\r")
+    head = head.removeprefix(MARK)
+    line = head.lstrip(BLANK).split(b"\n", 1)[0]
+    before = head[: len(head) - len(head.lstrip(BLANK))]
+    if whole_file and line and before.replace(b"\r\n" if line.endswith(b"\r") else b"\n", b""):
+        raise ValueError(f"{uri}: blank lines before the header end otherwise than the header")
+    return line.decode("utf-8", errors="replace").rstrip("\r")
 
 
-def header_lines(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame(
-            {"file_path": batch["file_path"], "header": [first_line(p) for p in batch["path"]]}
-        )
+def places_in(header: str, columns: list[str]) -> list[int] | None:
+    """Where each column is, -1 where it isn't; of columns with one name the last counts."""
+    if not header:
+        return None
+    at = {name: i for i, name in enumerate(next(csv.reader([header])))}
+    return [at.get(column, -1) for column in columns]
 
 
-def file_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """(file_path, header) of every CSV file; reads one line per file."""
+def file_layouts(
+    spark: SparkSession,
+    folder: str,
+    columns: list[str],
+    glob: str = "*.csv",
+    line_breaks_in_fields: bool = True,
+) -> DataFrame:
+    """(file_path, places) of every CSV file that isn't empty; reads one line per file."""
+
+    def layouts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [first_line(p, whole_file=line_breaks_in_fields) for p in batch["path"]]
+            places = [places_in(line, columns) for line in lines]
+            yield pd.DataFrame({"file_path": batch["file_path"], "places": places})
+
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -56,7 +76,8 @@ def file_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataF
         .load(folder)
         .select("path", F.col("_metadata.file_path").alias("file_path"))
     )
-    return files.mapInPandas(header_lines, "file_path string, header string")
+    found = files.mapInPandas(layouts, "file_path string, places array<int>")
+    return found.where("places IS NOT NULL")
 
 
 def read_station_csv(
@@ -66,25 +87,30 @@ def read_station_csv(
     year_pattern: str = r"(\d{4})/[^/]*$",
     columns: list[str] = RAW_COLUMNS,
     glob: str = "*.csv",
-    line_breaks_in_fields: bool = False,
+    line_breaks_in_fields: bool = True,
 ) -> DataFrame:
     """Raw text rows of all CSV files below a folder, bound by header name.
 
     Short records are padded with NULL, bytes that are not UTF-8 are replaced,
     quoted commas stay inside their field. The year is the given one, or what
-    `year_pattern` finds in the file's path (its folder by default). Large files
-    are split over tasks, unless quoted fields may hold line breaks.
+    `year_pattern` finds in the file's path (its folder by default). A file is one
+    task's work, as quoted fields may hold line breaks; say that they don't, and
+    large files are split over tasks.
+
+    Headers are read at once, when this is called, and what they say is kept in the
+    shared scratch folder.
     """
-    headers = file_headers(spark, folder, glob)
-    # one row per distinct header, not per file
-    distinct = headers.where("header <> ''").select("header").distinct()
-    lines = sorted(row["header"] for row in distinct.collect())
-    if not lines:
+    kept = scratch_folder(spark, "layouts")
+    file_layouts(spark, folder, columns, glob, line_breaks_in_fields).write.parquet(kept)
+    layouts = spark.read.schema("file_path string, places array<int>").parquet(kept)
+    # for each column the different places it has, at most as many as a header has names
+    sets = [F.collect_set(F.col("places")[i]) for i in range(len(columns))]
+    at = {c: sorted(s) for c, s in zip(columns, layouts.agg(*sets).first())}
+    if not any(at.values()):
         raise FileNotFoundError(f"no CSV file with a header below {folder}")
-    names_of = {line: tuple(next(csv.reader([line]))) for line in lines}
-    layouts = sorted(set(names_of.values()))
+    alike = all(len(places) == 1 for places in at.values())
 
-    width = max(len(names) for names in layouts)
+    width = 1 + max(0, *(places[-1] for places in at.values()))
     positional = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(width)])
     rows = (
         spark.read.schema(positional)
@@ -100,27 +126,18 @@ def read_station_csv(
         .withColumn("file_path", F.col("_metadata.file_path"))
     )
 
-    if len(layouts) > 1:
-        number = [
-            F.when(F.col("header") == line, F.lit(layouts.index(names)))
-            for line, names in names_of.items()
-        ]
-        layout_of_file = headers.select("file_path", F.coalesce(*number).alias("layout"))
-        if headers.count() <= BROADCAST_FILES:
-            layout_of_file = F.broadcast(layout_of_file)
-        rows = rows.join(layout_of_file, "file_path")
+    if not alike:
+        # both sides grow with the data: which join is Spark's choice by size
+        rows = rows.join(layouts, "file_path")
 
     def bound(column: str) -> Column:
-        places = [
-            (i, F.col(f"f{names.index(column)}"))
-            for i, names in enumerate(layouts)
-            if column in names
-        ]
+        places = [p for p in at[column] if p >= 0]
         if not places:
             return F.lit(None).cast("string")
-        if len(layouts) == 1:
-            return places[0][1]
-        return F.coalesce(*[F.when(F.col("layout") == i, place) for i, place in places])
+        if alike:
+            return F.col(f"f{places[0]}")
+        mine = F.col("places")[columns.index(column)]
+        return F.coalesce(*[F.when(mine == p, F.col(f"f{p}")) for p in places])
 
     in_year = (
         F.lit(year)

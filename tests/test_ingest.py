@@ -247,9 +247,11 @@ def test_csv_folder_gives_the_same_rows_as_the_archive(spark, tmp_path):
     assert ingest.to_observations(packed).exceptAll(ingest.to_observations(unpacked)).isEmpty()
 
 
-@pytest.mark.parametrize("broadcast_files", [0, station_csv.BROADCAST_FILES])
-def test_csv_files_with_different_headers(spark, tmp_path, monkeypatch, broadcast_files):
-    monkeypatch.setattr(station_csv, "BROADCAST_FILES", broadcast_files)
+@pytest.mark.parametrize("broadcast_bytes", ["-1", "10485760"])
+def test_csv_files_with_different_headers(spark, tmp_path, request, broadcast_bytes):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, broadcast_bytes)
+    request.addfinalizer(lambda: spark.conf.unset(threshold))
     swapped = [c for c in reversed(HEADER) if c != "WDSP"]
     write_csv(tmp_path / "2024", "a b.csv", station_file({"STATION": "a"}))
     write_csv(tmp_path / "2024", "b.csv", station_file({"STATION": "b"}, header=swapped))
@@ -267,6 +269,38 @@ def test_csv_files_with_different_headers(spark, tmp_path, monkeypatch, broadcas
         assert flags_of(got[s]) == ["rain_drizzle", "thunder"]
 
 
+def test_csv_blank_lines_before_a_header_and_line_breaks_in_fields(spark, tmp_path):
+    swapped = [c for c in reversed(HEADER) if c != "WDSP"]
+    name = 'A "B"\nC, NO'
+    write_csv(tmp_path / "2024", "a.csv", b"\n\n" + station_file({"STATION": "a", "NAME": name}))
+    write_csv(tmp_path / "2024", "d.csv",
+              (b"\n" + station_file({"STATION": "d"})).replace(b"\n", b"\r\n"))
+    write_csv(tmp_path / "2024", "b.csv", station_file({"STATION": "b"}, header=swapped))
+    write_csv(tmp_path / "2024", "c.csv", station_file(
+        {"STATION": "c"}, header=[*HEADER, "STATION"]))
+    rows = ingest.to_observations(station_csv.read_station_csv(spark, str(tmp_path)))
+    assert {r["station"]: r["name"] for r in rows.collect()} == {
+        "a": name, "b": DAY["NAME"], "c": DAY["NAME"], "d": DAY["NAME"]}
+
+
+def test_csv_blank_lines_that_would_hide_a_header(spark, tmp_path):
+    write_csv(tmp_path / "2024", "mixed.csv", b"\n\r\n" + station_file({"STATION": "a"}))
+    with pytest.raises(Exception, match="mixed.csv"):
+        station_csv.read_station_csv(spark, str(tmp_path))
+    rows = station_csv.read_station_csv(spark, str(tmp_path), line_breaks_in_fields=False)
+    assert [r["STATION"] for r in rows.collect()] == ["a"]
+
+
+def test_csv_headers_are_read_once(spark, tmp_path):
+    for s in range(3):
+        write_csv(tmp_path / "2024", f"{s}.csv", station_file({}, header=HEADER[s:]))
+    rows = station_csv.read_station_csv(spark, str(tmp_path))
+    out = io.StringIO()
+    with redirect_stdout(out):
+        rows.explain()
+    assert "MapInPandas" not in out.getvalue() and rows.count() == 3
+
+
 def test_headers_quoted_differently_are_one_layout(spark, tmp_path):
     content = station_file({})
     header, body = content.split(b"\n", 1)

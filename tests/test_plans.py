@@ -17,6 +17,7 @@ from stationdays.sources import ingest, warehouse
 SMALL = "/root/testdata/sf0.001"
 # these hand rows to Python on purpose: files Spark cannot read, draws, or to compare
 PYTHON = {"archive_roundtrip", "csv_quoted_scan", "csv_header_binding", "bootstrap_ci_blocks",
+          "bootstrap_block_invariants", "nation_file_manifest",
           "pushdown_arms_agree", "column_scan_cost", "file_manifest"}
 
 
