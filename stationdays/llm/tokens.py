@@ -2,7 +2,8 @@
 
 The vocabularies split a text at white space before they merge anything, so a text's ids
 are those of its pieces in a row: its words, with the white space before each where the
-vocabulary keeps white space. Most pieces come again and again. Every Python worker keeps
+vocabulary keeps white space. There a run of white space is never cut, also where ASCII and
+other white space meet in it. Most pieces come again and again. Every Python worker keeps
 the ids of pieces it has seen, by a 64-bit hash, and encodes only new ones; texts are put
 together in numpy. Tests hold this against the library's ids of whole texts.
 """
@@ -23,6 +24,36 @@ MOST_KNOWN = 2_000_000
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def after_wide_space(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character before each end may be white space that isn't ASCII.
+
+    What only some engines take for white space counts too: not cutting is always right.
+    """
+    one, two, three = (data[np.maximum(ends - i, 0)] for i in (1, 2, 3))
+    # control characters 1C to 1F; U+0085 and U+00A0
+    found = (one >= 0x1C) & (one <= 0x1F) | (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    # U+1680, U+180E, U+205F, U+3000 and U+FEFF
+    for a, b, c in ((0xE1, 0x9A, 0x80), (0xE1, 0xA0, 0x8E), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80),
+                    (0xEF, 0xBB, 0xBF)):
+        found |= (three == a) & (two == b) & (one == c)
+    # U+2000 to U+200F, U+2028 to U+202F
+    wide = (one >= 0x80) & (one <= 0x8F) | (one >= 0xA8) & (one <= 0xAF)
+    return found | (three == 0xE2) & (two == 0x80) & wide
+
+
+def fold_ascii_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Lower case in words of ASCII alone; others are composed before case is folded."""
+    folded = LOWER[data]
+    other = np.unique(np.searchsorted(starts, np.flatnonzero(data >= 128), side="right") - 1)
+    if len(other):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[other]] += 1
+        step[ends[other]] -= 1
+        as_written = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        folded[as_written] = data[as_written]
+    return folded
+
+
 class PieceEncoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -72,9 +103,16 @@ class PieceEncoder:
             at = first[1:][tail]
             starts, ends = np.insert(before, at, last[tail]), np.insert(ends, at, text_ends[tail])
             first = first + np.concatenate([[0], np.cumsum(tail)])
+            # what follows white space of another kind belongs to the piece before
+            more = np.zeros(len(starts), bool)
+            more[1:] = after_wide_space(data, ends[:-1])
+            more[first[:-1][np.diff(first) > 0]] = False
+            begins = np.flatnonzero(~more)
+            starts, ends = starts[begins], ends[np.append(begins, len(ends))[1:] - 1]
+            first = np.searchsorted(begins, first)
         elif self._folds_case and b"<|" not in data.tobytes():
             # what looks like a special token must be seen as it is written
-            data = LOWER[data]
+            data = fold_ascii_words(data, starts, ends)
         return data, starts, ends, first
 
     def __call__(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:

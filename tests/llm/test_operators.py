@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -62,6 +63,31 @@ def test_ids_of_pieces_are_those_of_whole_texts(vocabulary, texts):
         assert ids[starts[i] : starts[i + 1]].tolist() == expected
 
 
+WIDE = st.text(
+    alphabet=st.sampled_from("aJA \n\t\x85\u00a0\u3000\u2003\u1680\u200b\ufeff\x1c\u030c\u0301Σé<|"), max_size=24
+)
+
+
+@functools.cache
+def library(vocabulary):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+@given(texts=st.lists(WIDE, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_ids_around_wide_spaces_and_combining_marks(vocabulary, texts):
+    known = ["a \u00a0 \u00a0 b", " \u00a0" * 4, "a\u00a0 ", "J\u030c X", "\u3000 \u3000 A", " \u00a0"]
+    whole = library(vocabulary)
+    # alone, and beside a text that may be a special token
+    for run in (texts + known, [*known, "<|x"], ["", ""], []):
+        ids, starts = tokens.encoder(vocabulary)([t.encode() for t in run])
+        for i, text in enumerate(run):
+            expected = whole.encode(text, add_special_tokens=False).ids
+            assert ids[starts[i] : starts[i + 1]].tolist() == expected
+
+
 def test_token_files(odd, empty):
     from tokenizers import Tokenizer
 
