@@ -1,13 +1,18 @@
-"""Licence scans: lines compared with licence notices by their word pairs.
+"""Licence scans: passages compared with licence notices and texts by their word pairs.
 
-A line is normalised to lower-case words of letters and digits; the Dice coefficient of
-two sets A and B of neighbouring word pairs is 2 |A n B| / (|A| + |B|). It can reach t
-only if |A| lies between t / (2 - t) and (2 - t) / t times |B|, so most lines are never
-compared with any template. DataFrame operations only.
+A text is normalised to lower-case words of letters and digits; the Dice coefficient of
+two sets A and B of neighbouring word pairs is 2 |A n B| / (|A| + |B|). A passage is a run
+of words of one document, over any line breaks, that begins anywhere and ends with a clause
+or a line, as notices do. It can reach t only if it has at least t / (2 - t) of a template's
+pairs, so most documents and words are never compared. DataFrame operations only, no shuffle.
+
+A pair that the template has never lowers a passage's coefficient, so only passages that
+begin where a run of such pairs begins, and end with the clause where one ends, are tried;
+of at most (2 - t) / t times the template's words up to that clause. Of overlapping passages
+the one counts whose common pairs exceed what t asks for by most, then the first by name.
 
 Null and empty texts have no findings. Every row is a document; repeated rows repeat
-their findings. A line may match several templates: the closest counts, and of equally
-close ones the first by name.
+their findings.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +41,24 @@ TEMPLATES = {
 }
 LEAST_PERCENT = 90
 
+CLAUSE_END = r"[.,;:!?)\]\"'](?=[^a-z0-9]|$)|[(\[<]"
+"""Ends a clause in a lower-cased line; not the points in numbers and addresses."""
 
-def pairs_of(text: str) -> list[str]:
-    """The word pairs of a template, by the rule that `line_pairs` has for columns."""
+
+def licence_texts() -> list[tuple[str, str]]:
+    """Whole licences, and the headers they ask for (`<licence>.header.txt`)."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in files]
+
+
+def template_words(text: str) -> list[str]:
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    words = "".join(c if c.isascii() and c.isalnum() else " " for c in lowered).split()
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in lowered).split()
+
+
+def pairs_of(text: str) -> list[str]:
+    """The word pairs of a template, by the rule that `words_of` has for columns."""
+    words = template_words(text)
     return list(dict.fromkeys(" ".join(two) for two in zip(words, words[1:])))
 
 
@@ -48,12 +67,6 @@ def words_of(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, "[^a-z0-9]+", " ")), " ")
 
 
-def line_pairs(words: Column) -> Column:
-    left = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    right = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
 def size_bounds(size: int, least_percent: int) -> tuple[int, int]:
     """Least and greatest number of pairs a line may have for a template of so many."""
     low = Fraction(least_percent, 200 - least_percent) * size
@@ -61,14 +74,138 @@ def size_bounds(size: int, least_percent: int) -> tuple[int, int]:
     return -int(-low // 1), int(high // 1)
 
 
-def needed_words(pairs: list[str], least_common: int) -> list[str]:
-    """Words of which every line with so many common pairs has at least one.
+def needed_words(pairs: list[str], least_common: int, groups: int = 8) -> list[list[str]]:
+    """Groups of words; every passage with so many common pairs has a word of each group.
 
-    A word that a line lacks costs it a pair, and a pair has two words: with e pairs to
-    spare at most 2 e words can be lacking, so of any 2 e + 1 words one is there.
+    A passage without any word of a group lacks all their pairs, which is more than can be
+    lacking. Few words make a group: long ones where there are few pairs to spare, else
+    those of most pairs.
     """
-    words = sorted({w for pair in pairs for w in pair.split()}, key=lambda w: (-len(w), w))
-    return words[: 2 * (len(pairs) - least_common) + 1]
+    of_word: dict[str, set[str]] = {}
+    for pair in pairs:
+        for word in pair.split():
+            of_word.setdefault(word, set()).add(pair)
+    spare, found = len(pairs) - least_common, []
+    orders = (lambda w: (-len(w), w), lambda w: (len(w) < 6, -len(of_word[w]), w))
+    left = set(of_word)
+    while len(found) < groups:
+        tried = []
+        for order in orders:
+            lacking: set[str] = set()
+            group = []
+            for word in sorted(left, key=order):
+                if len(lacking) > spare:
+                    break
+                group.append(word)
+                lacking |= of_word[word]
+            if len(lacking) > spare:
+                tried.append(group)
+        if not tried:
+            break
+        found.append(min(tried, key=len))
+        left -= set(found[-1])
+    return found
+
+
+def tokens_of(whole: Column) -> Column:
+    """Words in order, each with its line and how many words follow in its clause."""
+
+    def of_clause(clause: Column, line: Column) -> Column:
+        words = F.filter(words_of(clause), lambda w: w != "")
+        # an array of one, so that a clause is cut once
+        each = F.transform(
+            F.array(words),
+            lambda ws: F.transform(
+                ws,
+                lambda w, i: F.struct(
+                    w.alias("word"), line.alias("line"), (F.size(ws) - 1 - i).alias("rest")
+                ),
+            ),
+        )
+        return F.flatten(each)
+
+    lines = F.transform(
+        F.split(whole, "\n", -1),
+        lambda of, line: F.flatten(
+            F.transform(F.split(of, CLAUSE_END, -1), lambda clause: of_clause(clause, line))
+        ),
+    )
+    return F.flatten(lines)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def passages(tokens: Column, pairs: Column, template: Column, least_percent: int) -> Column:
+    """Passages that match one template: margin, licence, common, sizes, first and last pair."""
+
+    def of_common(common: Column) -> Column:
+        places = F.filter(
+            F.transform(pairs, lambda p, i: F.when(F.array_contains(common, p), i)),
+            lambda i: i.isNotNull(),
+        )
+        return bound(places, lambda at: of_places(common, at))
+
+    def of_places(common: Column, at: Column) -> Column:
+        ranked = F.transform(at, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+        starts = F.filter(ranked, lambda x: (x.k == 0) | (F.get(at, x.k - 1) < x.p - 1))
+        ends = F.filter(
+            ranked, lambda x: (x.k == F.size(at) - 1) | (F.get(at, x.k + 1) > x.p + 1)
+        )
+        runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+        return bound(runs, lambda r: F.flatten(F.transform(r, lambda s, j: of_start(common, r, s, j))))
+
+    def of_start(common: Column, runs: Column, start: Column, j: Column) -> Column:
+        a = start["a"]
+        near = F.slice(runs, j + 1, template.most)
+        tried = F.transform(
+            near,
+            # a run longer than the template is tried up to the template's length
+            lambda r, i: F.struct(
+                F.when(i == 0, F.least(r["b"].p, a.p + template.n_places - 1))
+                .otherwise(r["b"].p)
+                .alias("p"),
+                (r["b"].k - a.k + 1).alias("hits"),
+            ),
+        )
+        tried = F.filter(
+            tried, lambda e: (e.p - a.p < template.most) & (e.hits >= template.least)
+        )
+        scored = F.transform(
+            F.array_distinct(F.transform(tried, lambda e: e.p + F.get(tokens, e.p + 1).rest)),
+            lambda last: bound(
+                F.array_distinct(F.slice(pairs, a.p + 1, last - a.p + 1)),
+                lambda own: bound(
+                    F.size(F.array_intersect(own, common)),
+                    lambda c: F.struct(
+                        (least_percent * (F.size(own) + template.n) - 200 * c).alias("order"),
+                        template.licence.alias("licence"),
+                        a.p.alias("first"),
+                        last.alias("last"),
+                        c.cast("long").alias("common"),
+                        (F.size(own) + template.n).cast("long").alias("sizes"),
+                    ),
+                ),
+            ),
+        )
+        return F.filter(scored, lambda m: m.order <= 0)
+
+    return bound(F.array_intersect(pairs, template.own), of_common)
+
+
+def not_overlapping(found: Column) -> Column:
+    """Of matches in ascending order, those that overlap none taken before."""
+    none = F.filter(found, lambda m: F.lit(False))
+    return F.aggregate(
+        found,
+        none,
+        lambda taken, m: F.when(
+            F.exists(taken, lambda t: (t["first"] <= m["last"] + 1) & (m["first"] <= t["last"] + 1)),
+            taken,
+        ).otherwise(F.concat(taken, F.array(m))),
+    )
 
 
 def licence_lines(
@@ -78,50 +215,65 @@ def licence_lines(
     id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per line that matches: id, `line` (from 0), `licence`, `common`, `sizes`.
+    """One row per passage that matches: id, `line` it begins in (from 0), `licence`,
+    `common`, `sizes`.
 
-    The Dice coefficient is 2 common / sizes. No shuffle: lines are compared where they
+    The Dice coefficient is 2 common / sizes. No shuffle: passages are compared where they
     are read, with templates that are part of the plan.
     """
-    sets = {name: pairs_of(t) for name, t in sorted((templates or TEMPLATES).items())}
-    bounds = {name: size_bounds(len(s), least_percent) for name, s in sets.items()}
-    lowest, highest = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    needed = sorted(set().union(*(needed_words(s, bounds[n][0]) for n, s in sets.items())))
-
-    def may_match(words: Column) -> Column:
-        return reduce(or_, [F.contains(words, F.lit(w)) for w in needed])
-
+    named = list(templates.items()) if templates else [*TEMPLATES.items(), *licence_texts()]
+    needed: set[str] = set()
+    rows = []
+    for name, template in sorted(named):
+        own, places = pairs_of(template), len(template_words(template)) - 1
+        least = size_bounds(len(own), least_percent)[0]
+        some = needed_words(own, least)
+        needed.update(some[0])
+        fields = {
+            "licence": F.lit(name),
+            "own": F.split(F.lit("|".join(own)), "[|]"),
+            "needed": F.array(*(F.split(F.lit("|".join(g)), "[|]") for g in some)),
+            "n": F.lit(len(own)),
+            "least": F.lit(least),
+            "n_places": F.lit(places),
+            "most": F.lit(size_bounds(places, least_percent)[1]),
+        }
+        rows.append(F.struct(*(c.alias(n) for n, c in fields.items())))
+    # a word with another one inside it asks for nothing more
+    needed = {w for w in needed if not any(v != w and v in w for v in needed)}
     whole = F.lower(F.coalesce(F.col(text), F.lit("")))
-    lines = documents.where(may_match(whole)).select(
-        F.col(id).alias(id), F.posexplode(F.split(whole, "\n", -1)).alias("line", "of")
-    )
-    counted = (
-        lines.where(may_match(F.col("of")))
-        .select(id, "line", line_pairs(words_of(F.col("of"))).alias("pairs"))
-        .where(F.size("pairs").between(lowest, highest))
-    )
-    matches = []
-    for name, own in sets.items():
-        low, high = bounds[name]
-        n = F.size("pairs")
-        common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, own))))
-        near = n.between(low, high) & (200 * common >= least_percent * (n + len(own)))
-        # negative shortfall first: of structs the greatest is the closest, then by name
-        matches.append(
-            F.when(
-                near,
-                F.struct(
-                    (-(2 * common).cast("double") / (n + len(own))).alias("order"),
-                    F.lit(name).alias("licence"),
-                    common.cast("long").alias("common"),
-                    (n + len(own)).cast("long").alias("sizes"),
-                ),
-            )
+    may_match = reduce(or_, [F.contains(whole, F.lit(w)) for w in sorted(needed)])
+
+    def of_words(tokens: Column, words: Column, pairs: Column) -> Column:
+        near = F.filter(
+            F.array(*rows),
+            lambda t: (F.size(pairs) >= t.least)
+            & F.forall(t.needed, lambda group: F.arrays_overlap(group, words))
+            & (F.size(F.array_intersect(pairs, t.own)) >= t.least),
+        )
+        found = F.flatten(F.transform(near, lambda t: passages(tokens, pairs, t, least_percent)))
+        kept = bound(F.array_sort(found), not_overlapping)
+        return F.transform(
+            kept,
+            lambda m: F.struct(
+                F.get(tokens, m["first"]).line.cast("long").alias("line"),
+                m.licence.alias("licence"), m.common.alias("common"), m.sizes.alias("sizes"),
+            ),
         )
-    best = counted.select(id, "line", F.array_min(F.array_compact(F.array(*matches))).alias("m"))
-    return best.where("m IS NOT NULL").select(
-        id, F.col("line").cast("long").alias("line"), "m.licence", "m.common", "m.sizes"
+
+    def pairs_in(words: Column) -> Column:
+        left = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+        right = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
+
+    found = bound(
+        tokens_of(whole),
+        lambda tokens: bound(
+            F.transform(tokens, lambda t: t.word),
+            lambda words: bound(pairs_in(words), lambda pairs: of_words(tokens, words, pairs)),
+        ),
     )
+    return documents.where(may_match).select(F.col(id).alias(id), F.inline(found))
 
 
 def licence_report(documents: DataFrame) -> DataFrame:

@@ -425,6 +425,29 @@ def test_licences(frame, odd, empty):
     assert licences.licence_report(empty).count() == 0
 
 
+def test_licence_texts_and_notices_in_context(frame):
+    texts = dict(sorted(licences.licence_texts(), key=lambda t: len(t[1])))  # no headers
+    mit, bsd, gpl = texts["MIT"], texts["BSD-3-Clause"], texts["GPL-3.0"]
+    header = "Licensed under the Apache License,\n# Version 2.0 (see LICENSE)"
+    two = "Released under the MIT License. All rights reserved."
+    rows = [
+        (1, "This file is released under the MIT License."),
+        (2, "Copyright 2020 Foo Inc. All rights reserved."),
+        (3, "x y\n" + mit), (4, "a\nb\n/* " + " ".join(bsd.split()) + " */ int main"),
+        (5, "intro\n# " + header), (6, two), (7, "Copyright Foo. All rights reserved.\n" + bsd),
+        (8, "\n".join(w for i, w in enumerate(mit.split(" ")) if i % 40 != 7)),
+        (9, "z\n" + gpl), (10, "All rights\nreserved\n" * 2),
+        (11, mit[: len(mit) // 2]), (12, "All rights reserved by none. The software is provided"),
+    ]
+    got = sorted((r.doc_id, r.line, r.licence) for r in licences.licence_lines(frame(rows)).collect())
+    assert got == [
+        (1, 0, "MIT"), (2, 0, "Proprietary"), (3, 1, "MIT"), (4, 2, "BSD-3-Clause"),
+        (5, 1, "Apache-2.0"), (6, 0, "MIT"), (6, 0, "Proprietary"), (7, 0, "Proprietary"),
+        (7, 1, "BSD-3-Clause"), (8, 0, "MIT"), (9, 1, "GPL-3.0"), (10, 0, "Proprietary"),
+        (10, 2, "Proprietary"),
+    ]
+
+
 # ------------------------------------------------------------------------- mixing
 
 
