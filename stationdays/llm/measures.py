@@ -11,7 +11,14 @@ from functools import cached_property
 
 import numpy as np
 
-from stationdays.llm.words import RangeHash, Words, find_words, mix, window_hashes
+from stationdays.llm.words import (
+    Words,
+    find_words,
+    mix,
+    range_hashes,
+    window_hashes,
+    word_hashes,
+)
 
 SPACE, UPPER, LOWER, DIGIT, SYMBOL, BANG, PUNCTUATION, MANY, INNER = range(9)
 """Classes of bytes; MANY starts a character of several bytes, INNER goes on with one."""
@@ -49,13 +56,9 @@ class Texts:
     def classes(self) -> np.ndarray:
         return BYTE_CLASS[self.words.data]
 
-    @cached_property
-    def hasher(self) -> RangeHash:
-        return RangeHash(self.words.data)
-
     @cached_property
     def word_hashes(self) -> np.ndarray:
-        return self.hasher(self.words.starts, self.words.ends)
+        return word_hashes(self.words)
 
     @cached_property
     def owners(self) -> np.ndarray:
@@ -100,7 +103,7 @@ class Texts:
         starts, ends, owner = self.lines
         filled = np.concatenate([[0], np.cumsum(self.classes != SPACE)])
         worded = filled[ends] > filled[starts]
-        key = self.hasher(starts, ends) ^ mix(owner.astype(np.uint64) + np.uint64(1))
+        key = range_hashes(self.words.data, starts, ends) ^ mix(owner.astype(np.uint64) + np.uint64(1))
         again = np.ones(len(starts), bool)
         again[np.unique(key, return_index=True)[1]] = False
         return np.bincount(owner[again & worded], minlength=len(self)).astype(np.int64)

@@ -4,7 +4,7 @@ The vocabularies split a text at white space before they merge anything, so a te
 are those of its pieces in a row: its words, with the white space before each where the
 vocabulary keeps white space. There a run of white space is never cut, also where ASCII and
 other white space meet in it. Most pieces come again and again. Every Python worker keeps
-the ids of pieces it has seen, by a 64-bit hash, and encodes only new ones; texts are put
+the ids and the bytes of pieces it has seen and encodes only new ones; texts are put
 together in numpy. Tests hold this against the library's ids of whole texts.
 """
 
@@ -16,10 +16,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-from stationdays.llm.words import LOWER, RangeHash, find_words, runs
+from stationdays.llm.words import LOWER, find_words, range_hashes, range_ids, runs, same_ranges
 
 MOST_KNOWN = 2_000_000
-"""Pieces a worker remembers before it starts afresh; about 40 bytes each."""
+"""Pieces a worker remembers before it starts afresh; about 70 bytes each."""
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -71,20 +71,48 @@ class PieceEncoder:
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
+        self._bytes = np.zeros(0, np.uint8)
+        self._byte_starts = np.zeros(0, np.int64)
+        self._byte_lengths = np.zeros(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Ids of new pieces, whose hashes are in ascending order."""
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces start, and how many they are."""
         found: list[list[int]] = []
         for i in range(0, len(pieces), 4096):
-            some = self._tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)
-            found += [e.ids for e in some]
+            some = [p.decode() for p in pieces[i : i + 4096]]
+            batch = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            found += [e.ids for e in batch]
         lengths = np.array([len(x) for x in found], np.int64)
         starts = len(self._ids) + np.cumsum(lengths) - lengths
         self._ids = np.concatenate([self._ids, np.array([i for x in found for i in x], np.uint32)])
-        at = np.searchsorted(self._hashes, hashes)
-        self._hashes = np.insert(self._hashes, at, hashes)
-        self._starts = np.insert(self._starts, at, starts)
-        self._lengths = np.insert(self._lengths, at, lengths)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        places = len(self._bytes) + np.cumsum(sizes) - sizes
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        # of pieces with one hash the first to come is remembered
+        fresh, first = np.unique(hashes, return_index=True)
+        first = first[~np.isin(fresh, self._hashes)]
+        at = np.searchsorted(self._hashes, hashes[first])
+        self._hashes = np.insert(self._hashes, at, hashes[first])
+        self._starts = np.insert(self._starts, at, starts[first])
+        self._lengths = np.insert(self._lengths, at, lengths[first])
+        self._byte_starts = np.insert(self._byte_starts, at, places[first])
+        self._byte_lengths = np.insert(self._byte_lengths, at, sizes[first])
+        return starts, lengths
+
+    def _known(
+        self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces are remembered, byte for byte, and at what place."""
+        if not len(self._hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
+        lengths = ends - starts
+        known = (self._hashes[at] == hashes) & (self._byte_lengths[at] == lengths)
+        some = np.flatnonzero(known)
+        known[some] = same_ranges(
+            data, starts[some], self._bytes, self._byte_starts[at[some]], lengths[some]
+        )
+        return known, at
 
     def _pieces(self, texts: Sequence[bytes]) -> tuple[np.ndarray, ...]:
         """Buffer, starts and ends of pieces, and each text's first piece."""
@@ -118,24 +146,21 @@ class PieceEncoder:
     def __call__(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin, with the end."""
         data, starts, ends, first = self._pieces(texts)
-        hashes, example, place = np.unique(
-            RangeHash(data)(starts, ends), return_index=True, return_inverse=True
-        )
+        example, place = range_ids(data, starts, ends)
+        starts, ends = starts[example], ends[example]
+        hashes = range_hashes(data, starts, ends)
         if len(self._hashes) + len(hashes) > MOST_KNOWN:
             self._forget()
-        at = np.searchsorted(self._hashes, hashes)
-        known = np.zeros(len(hashes), bool)
-        if len(self._hashes):
-            known = self._hashes[np.minimum(at, len(self._hashes) - 1)] == hashes
+        known, at = self._known(data, starts, ends, hashes)
+        begin, length = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[known], length[known] = self._starts[at[known]], self._lengths[at[known]]
         if not known.all():
             whole = data.tobytes()
-            spans = example[~known]
-            pieces = [
-                whole[a:b].decode() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())
-            ]
-            self._learn(hashes[~known], pieces)
-            at = np.searchsorted(self._hashes, hashes)
-        begin, length = self._starts[at][place], self._lengths[at][place]
+            new = zip(starts[~known].tolist(), ends[~known].tolist())
+            begin[~known], length[~known] = self._learn(
+                hashes[~known], [whole[a:b] for a, b in new]
+            )
+        begin, length = begin[place], length[place]
         to = np.concatenate([[0], np.cumsum(length)])
         ids = self._ids[np.repeat(begin - to[:-1], length) + np.arange(to[-1])]
         return ids, to[first]

@@ -8,6 +8,7 @@ task of a cluster and every run gives the same ones.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,9 @@ BATCH_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+LONG_RANGE = 256
+"""Ranges of more bytes are hashed one by one."""
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -48,10 +52,62 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of a buffer as a number; zeros follow its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of a buffer.
+
+    Eight bytes at a time are mixed into what the bytes before gave, so no structure of the
+    bytes can cancel out; the rare long ranges go through a cryptographic hash.
+    """
+    lengths = ends - starts
+    blocks = blocks_of(data)
+    found = mix(lengths.astype(np.uint64) + np.uint64(_BASE))
+    todo = np.flatnonzero((lengths > 0) & (lengths <= LONG_RANGE))
+    done = 0
+    while len(todo):
+        block = blocks[starts[todo] + done] & _HEAD[np.minimum(lengths[todo] - done, 8)]
+        found[todo] = mix(found[todo] ^ block)
+        done += 8
+        todo = todo[lengths[todo] > done]
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(lengths > LONG_RANGE).tolist():
+        digest = blake2b(view[starts[i] : ends[i]], digest_size=8).digest()
+        found[i] = int.from_bytes(digest, "little")
+    return found
+
+
+def same_ranges(
+    a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray
+) -> np.ndarray:
+    """Whether ranges of equal length in two buffers hold the same bytes."""
+    found = np.ones(len(lengths), bool)
+    x, y = blocks_of(a), blocks_of(b)
+    todo = np.flatnonzero((lengths > 0) & (lengths <= LONG_RANGE))
+    done = 0
+    while len(todo):
+        differ = (x[a_starts[todo] + done] ^ y[b_starts[todo] + done]) & _HEAD[
+            np.minimum(lengths[todo] - done, 8)
+        ]
+        found[todo[differ != 0]] = False
+        done += 8
+        todo = todo[lengths[todo] > done]
+    for i in np.flatnonzero(lengths > LONG_RANGE).tolist():
+        n = lengths[i]
+        found[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return found
+
+
 class RangeHash:
-    """Hashes of any byte ranges of one buffer, each in a few array steps.
+    """Hashes of short byte ranges that overlap, each in a few array steps.
 
-    The sum of (byte + 1) * base**place over a range, moved to place 0, modulo 2**64.
+    The sum of (byte + 1) * base**place over a range, moved to place 0, modulo 2**64. Texts
+    built for it can make ranges of about a thousand bytes collide, so ranges are a few
+    hundred bytes at most; others go through `range_hashes`.
     """
 
     def __init__(self, data: np.ndarray):
@@ -96,7 +152,35 @@ def find_words(texts: Sequence[bytes], lower: bool = False) -> Words:
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    return RangeHash(words.data)(words.starts, words.ends)
+    return range_hashes(words.data, words.starts, words.ends)
+
+
+def range_ids(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For every number given the first range that has it, and the number of each range:
+    the same for ranges of the same bytes and for no others."""
+    hashes = range_hashes(data, starts, ends)
+    _, example, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, model = ends - starts, example[ids]
+    same = lengths == lengths[model]
+    same &= same_ranges(data, starts, data, starts[model], np.minimum(lengths, lengths[model]))
+    if not same.all():
+        # different ranges with one hash are told apart by their bytes
+        whole, known, more = data.tobytes(), {}, []
+        for i in np.flatnonzero(~same).tolist():
+            piece = whole[starts[i] : ends[i]]
+            if piece not in known:
+                known[piece] = len(example) + len(more)
+                more.append(i)
+            ids[i] = known[piece]
+        example = np.append(example, np.array(more, example.dtype))
+    return example, ids
+
+
+def word_ids(words: Words) -> np.ndarray:
+    """A number for each word, the same for words of the same bytes and for no others."""
+    return range_ids(words.data, words.starts, words.ends)[1]
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
