@@ -20,6 +20,7 @@ from stationdays.llm import (
     rules,
     token_files,
     topk,
+    word_runs,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 # the others cannot be said in SQL, or not at a bearable cost; tests hold them against
 # brute force
 ORACLE_SQL = {
