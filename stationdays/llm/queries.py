@@ -11,6 +11,7 @@ from stationdays.checks.tables import table
 from stationdays.llm import (
     classifier,
     jaccard,
+    language,
     let_tasks_import,
     licences,
     lines,
@@ -88,6 +89,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_digest(table(spark, sf_dir, "documents"))
