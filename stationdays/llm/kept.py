@@ -7,12 +7,32 @@ from pyspark.sql import DataFrame
 from stationdays.session import scratch_folder
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
+def cut_lineage(frame: DataFrame, *done: DataFrame) -> DataFrame:
     """Computes a table once, writes it, and goes on from what was written.
 
-    A checkpoint would compute the last stage twice, and tell the optimizer no size.
+    A checkpoint would compute the last stage twice, and tell the optimizer no size. The
+    tables `done`, from earlier calls, are removed as soon as this one is whole.
     """
     spark = frame.sparkSession
     folder = scratch_folder(spark, "kept")
     frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+    kept = spark.read.schema(frame.schema).parquet(folder)
+    kept._kept_folder = folder
+    forget(*done)
+    return kept
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Removes tables that `cut_lineage` wrote and nothing reads any more.
+
+    What else is given is left alone. Files of shuffles that led to them are removed by
+    Spark when the driver's collector next finds their plans unused.
+    """
+    for frame in frames:
+        folder = getattr(frame, "_kept_folder", None)
+        if folder is not None:
+            jvm = frame.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            configuration = frame.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path.getFileSystem(configuration).delete(path, True)
+            frame._kept_folder = None

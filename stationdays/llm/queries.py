@@ -17,6 +17,7 @@ from stationdays.llm import (
     lines,
     mixing,
     packing,
+    prefix_trie,
     repeats,
     rules,
     token_files,
@@ -89,6 +90,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
@@ -106,4 +112,5 @@ ORACLE_SQL = {
     "op3_exact_top_k": topk.ORACLE,
     "op7_licence_scan": licences.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
