@@ -18,7 +18,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_points.queries())
     assert set(ORACLE_SQL) <= set(entry_points.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
