@@ -16,6 +16,8 @@ from stationdays.checks.tables import (
     raw_orders,
     table,
     write_archives,
+    write_archives_with_odd_records,
+    write_odd_archives,
     write_station_csv,
 )
 from stationdays import functions
@@ -30,7 +32,15 @@ from stationdays.functions import (
 from stationdays.operators import bootstrap, panel, pushdown, questions, reconcile, scancost
 from stationdays.schema import EVENT_FLAGS, RAW_COLUMNS, SENTINELS
 from stationdays.session import scratch_folder
-from stationdays.sources import archive, ingest, manifest, report, station_csv, warehouse
+from stationdays.sources import (
+    archive,
+    ingest,
+    manifest,
+    report,
+    snapshots,
+    station_csv,
+    warehouse,
+)
 
 YEAR = 1998
 RESAMPLES = 200
@@ -65,6 +75,24 @@ def archive_roundtrip(spark, sf_dir):
     return ingest.to_observations(archive.read_archives(spark, folder))
 
 
+@query
+def archive_odd_headers(spark, sf_dir):
+    """Members of any size whose header isn't their plain first line."""
+    folder = scratch_folder(spark, "headers")
+    write_odd_archives(order_text_rows(spark, sf_dir), folder)
+    return ingest.to_observations(archive.read_archives(spark, folder))
+
+
+@query
+def archive_odd_records(spark, sf_dir):
+    """Bytes that are no text, records that end early, members that are no CSV files, and
+    archives named by another year than their dates'."""
+    folder = scratch_folder(spark, "records")
+    numbered = order_text_rows(spark, sf_dir, "o_orderkey AS number")
+    write_archives_with_odd_records(numbered.withColumn("year", F.col("year") + 1), folder)
+    return ingest.to_observations(archive.read_archives(spark, folder))
+
+
 @query
 def csv_quoted_scan(spark, sf_dir):
     folder = scratch_folder(spark, "csv")
@@ -95,6 +123,49 @@ def observations_scan(spark, sf_dir):
     return warehouse.open_observations(spark, folder, view=None)
 
 
+def _moment(name: str, observations: DataFrame) -> DataFrame:
+    return observations.groupBy("year").agg(
+        F.count("*").alias("n"), F.round(F.sum("temp_c"), 3).alias("total")
+    ).select(F.lit(name).alias("moment"), "year", "n", "total")
+
+
+@query
+def atomic_years(spark, sf_dir):
+    """What readers see of a dataset of which several years are being replaced: before, while
+    the write is under way or was killed, after its commit, and in what was opened before."""
+    folder = scratch_folder(spark, "atomic")
+    rows = order_observations(spark, sf_dir).withColumn("name", F.lit("x"))
+    schema = rows.schema
+    warehouse.write_observations(rows, folder)
+    opened = warehouse.open_observations(spark, folder, schema, view=None)
+    changed = rows.where((F.col("year") >= YEAR - 1) & (F.dayofmonth("date") <= 15))
+    staged = warehouse.stage_observations(changed, folder)
+    killed = warehouse.open_observations(spark, folder, schema, view=None)
+    warehouse.commit_observations(spark, staged)
+    after = warehouse.open_observations(spark, folder, schema, view=None)
+    return (
+        _moment("opened before", opened)
+        .unionByName(_moment("write killed", killed))
+        .unionByName(_moment("committed", after))
+    )
+
+
+@query
+def years_needing_ingest(spark, sf_dir):
+    """Requested years, less those committed whole: a year that has lost a file counts as
+    missing, one that was ingested and had no rows does not."""
+    folder = scratch_folder(spark, "commits")
+    rows = order_observations(spark, sf_dir)
+    years = sorted(r["year"] for r in rows.select("year").distinct().collect())
+    warehouse.write_observations(rows, folder, whole=[*years, years[0] - 1])
+    lost = warehouse.parquet_files(spark, folder).where(F.col("year") == years[-1]).first()
+    snapshots.Folder(spark, lost["path"]).remove("")
+    requested = warehouse.requested_years(spark, [*years, years[0] - 1, years[0] - 2])
+    stored = warehouse.stored_years(spark, folder).select("year", "rows", "whole")
+    missing = warehouse.years_to_ingest(requested, warehouse.existing_years(spark, folder))
+    return missing.join(stored, "year", "left")
+
+
 @query
 def table_stats(spark, sf_dir):
     return questions.table_stats(order_observations(spark, sf_dir))

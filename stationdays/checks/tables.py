@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import io
 import tarfile
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -62,7 +63,7 @@ def order_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_text_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Orders as the text columns of a station file, plus the year of the container."""
     written = {
         "STATION": "lpad(CAST(o_custkey AS STRING), 11, '0')",
@@ -85,6 +86,7 @@ def order_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "CAST(year(o_orderdate) AS INT) AS year",
         *[f"{expression} AS {name}" for name, expression in written.items()],
+        *more,
     )
 
 
@@ -112,6 +114,29 @@ def write_archives(rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PE
     columns = [c for c in rows.columns if c != "year"]
     parts = max(1, -(-rows.count() // rows_per_archive))
 
+    def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
+        days = records.sort_values("STATION")[columns].itertuples(index=False, name=None)
+        for station, lines in groupby(days, key=itemgetter(columns.index("STATION"))):
+            yield f"{station}.csv", csv_bytes(columns, lines)
+
+    deal_archives(
+        rows.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts))), folder, members
+    )
+
+
+def csv_bytes(header: list[str], records: Iterable[tuple], line_end: str = "\r\n") -> bytes:
+    text = io.StringIO()
+    writer = csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator=line_end)
+    writer.writerow(header)
+    writer.writerows(records)
+    return text.getvalue().encode()
+
+
+def deal_archives(
+    rows: DataFrame, folder: str, members: Callable[[pd.DataFrame], Iterator[tuple[str, bytes]]]
+) -> None:
+    """An archive for each `_part` and year of rows, with the members made of its rows."""
+
     def write_one(key: tuple, records: pd.DataFrame) -> pd.DataFrame:
         part, year = key
         filesystem, path = filesystem_and_path(f"{folder}/part-{part}/{year}.tar.gz")
@@ -120,21 +145,14 @@ def write_archives(rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PE
         with filesystem.open_output_stream(path, compression=None) as sink, tarfile.open(
             fileobj=sink, mode="w|gz"
         ) as archive:
-            days = records.sort_values("STATION")[columns].itertuples(index=False, name=None)
-            for station, lines in groupby(days, key=itemgetter(columns.index("STATION"))):
-                text = io.StringIO()
-                writer = csv.writer(text, quoting=csv.QUOTE_ALL)
-                writer.writerow(columns)
-                writer.writerows(lines)
-                content = text.getvalue().encode()
-                member = tarfile.TarInfo(f"{station}.csv")
+            for name, content in members(records):
+                member = tarfile.TarInfo(name)
                 member.size = len(content)
                 archive.addfile(member, io.BytesIO(content))
         return pd.DataFrame({"path": [path], "rows": [len(records)]})
 
     (
-        rows.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-        .groupBy("_part", "year")
+        rows.groupBy("_part", "year")
         .applyInPandas(write_one, "path string, rows long")
         .write.format("noop")
         .mode("overwrite")
@@ -142,4 +160,74 @@ def write_archives(rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PE
     )
 
 
+ODD_HEADERS = 6
+
+
+def odd_header_member(layout: int, columns: list[str], records: list[tuple]) -> bytes:
+    """One member whose header is found in an odd way: behind records without a value, with a
+    byte order mark, in another order, or with one of its names twice."""
+    header = list(columns)
+    if layout == 3:
+        header.reverse()
+        records = [tuple(reversed(r)) for r in records]
+    if layout == 4:
+        # of two columns of one name the last counts
+        header.insert(0, "TEMP")
+        records = [("-1.5", *r) for r in records]
+    blank = b"," * (len(header) - 1) + b"\n"
+    quoted = b",".join([b'""'] * len(header)) + b"\r\n"
+    before = [b"", blank, quoted + b"\r\n" + blank, b"\n", b"\xef\xbb\xbf", b"\xef\xbb\xbf" + quoted]
+    return before[layout] + csv_bytes(header, records, "\n" if layout % 2 else "\r\n")
+
+
+def write_odd_archives(rows: DataFrame, folder: str) -> None:
+    """Archives of members with all odd headers, each in members of one and of many stations,
+    so that every header comes in members of a few lines and of many."""
+    columns = [c for c in rows.columns if c != "year"]
+
+    def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
+        days = records.sort_values(columns)
+        layout = days["STATION"].str[-3:].astype(int) % ODD_HEADERS
+        for number, some in days.groupby(layout):
+            half = len(some) // 8
+            for name, part in (("few", some[:half]), ("many", some[half:])):
+                lines = list(part[columns].itertuples(index=False, name=None))
+                step = 20 if name == "few" else len(lines) or 1
+                for at in range(0, len(lines), step):
+                    member = odd_header_member(int(number), columns, lines[at : at + step])
+                    yield f"{name}/{number}-{at}.csv", member
+
+    deal_archives(rows.withColumn("_part", F.lit(0)), folder, members)
+
+
+def odd_record(number: int, columns: list[str], record: tuple) -> bytes:
+    """A record with bytes that are no text, or one that ends early, or a usual one."""
+    line = csv_bytes(list(record), [])
+    if number % 3 == 1:
+        return line.replace(b"FIELD ", b"FIELD\xff\xfe ")
+    if number % 3 == 2:
+        short = record[: columns.index("PRCP")]
+        return csv_bytes(list(short), [])
+    return line
+
+
+def write_archives_with_odd_records(rows: DataFrame, folder: str) -> None:
+    """Archives of a year other than their rows', with odd records and with members that are
+    no CSV files. The key of an order, column `number`, says how odd its record is."""
+    columns = [c for c in rows.columns if c not in ("year", "number")]
+
+    def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
+        days = records.sort_values(["STATION", "number"])
+        for station, some in days.groupby("STATION"):
+            lines = some[columns].itertuples(index=False, name=None)
+            body = b"".join(odd_record(n, columns, r) for n, r in zip(some["number"], lines))
+            content = csv_bytes(columns, []) + body
+            yield f"{station}.csv", content
+            if int(station) % 7 == 0:
+                yield f"{station}.txt", content
+                yield f"{station}.csv.bak", content
+
+    deal_archives(rows.withColumn("_part", F.lit(0)), folder, members)
+
+
 ship_by_value(__name__)

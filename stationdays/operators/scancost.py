@@ -42,7 +42,12 @@ def column_chunks(spark: SparkSession, folder: str, glob: str = "*.parquet") ->
         .load(folder)
         .select("path", "length")
     )
-    return files.mapInPandas(footer_chunks, CHUNKS)
+    return file_chunks(files)
+
+
+def file_chunks(files: DataFrame) -> DataFrame:
+    """The same for listed files (path, length)."""
+    return files.select("path", "length").mapInPandas(footer_chunks, CHUNKS)
 
 
 def column_bytes(chunks: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def build_warehouse(
 ) -> DataFrame:
     """Ingest the requested years that are missing, log where each came from.
 
-    Returns the manifest: one entry per year ever ingested. A year already there
-    is not parsed again, but its archive, if still there, is checksummed.
+    Returns the manifest: one entry per year ever ingested. A year already there, whole,
+    is not parsed again, but its archive, if still there, is checksummed. A year whose
+    files have changed since they were committed is ingested again.
     """
     years = sorted(set(years))
     requested = warehouse.requested_years(spark, years)
@@ -48,7 +49,7 @@ def build_warehouse(
         if without:
             raise FileNotFoundError(f"no archive below {archives} for {without}")
         rows = ingest.to_observations(archive.read_archives(spark, archives, todo))
-        warehouse.write_observations(rows, folder, rebalance=False)
+        warehouse.write_observations(rows, folder, whole=todo, rebalance=False)
 
     fresh = F.col("year").isin(todo) if todo else F.lit(False)
     tables = (

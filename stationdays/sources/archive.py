@@ -11,8 +11,9 @@ the inflating, and their number is bounded. Records are handed over in Arrow
 batches as they are read: an archive is never held whole.
 
 A member of usual size goes through Arrow's CSV parser. One that parser refuses
-(records of different lengths, bytes that are not UTF-8, a name twice in the
-header), one of a few lines, or one too large to hold, is read record by record.
+(records of different lengths, bytes that are not UTF-8), one of a few lines, or one too
+large to hold, is read record by record. The header is found in one way for both, and
+both give the same rows; a test holds them against each other on random bytes.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ FEW_LINES_BYTES = 8 << 10
 WHOLE_MEMBER_BYTES = 64 << 20
 LEAST_SLICE_BYTES = 4 << 20
 MOST_SLICES = 8
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+ODD_LINE_ENDS = re.compile(rb"\r(?!\n)")
 
 
 class ArchiveSlice(InputPartition):
@@ -121,28 +125,57 @@ def tables_of_records(records: Iterable[tuple], columns: list[str]) -> Iterator[
         yield table_of(some, columns)
 
 
+def header_and_rest(content: bytes) -> tuple[list[str] | None, int]:
+    """The names of a file's header, and where the bytes behind that record begin."""
+    end = len(BYTE_ORDER_MARK) if content.startswith(BYTE_ORDER_MARK) else 0
+
+    def lines() -> Iterator[str]:
+        nonlocal end
+        for line in LINE.finditer(content, end):
+            if line.group():
+                end = line.end()
+                yield line.group().decode("utf-8", "replace")
+
+    # the reader asks for no more lines than the record has
+    return header_names(lines()), end
+
+
 def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
-    """The wanted columns of a regular CSV file, None if it is not regular."""
-    content = content.removeprefix(b"\xef\xbb\xbf")
-    names = header_names(as_text(io.BytesIO(content)))
-    # the reader below would take another of two columns with one name, and blank
-    # records before the header for the header
-    if names is None or len(set(names)) != len(names) or content[:1] in (b"\r", b"\n", b" "):
+    """The wanted columns of a regular CSV file, None if it is not regular.
+
+    Arrow's parser gets the bytes behind the header, and columns by number, so both
+    readers have the same header and the same place for every name.
+    """
+    names, start = header_and_rest(content)
+    # Arrow would take a byte order mark there for none of the file's text
+    odd = content.startswith(BYTE_ORDER_MARK, start) or ODD_LINE_ENDS.search(content, start)
+    if names is None or odd or content.endswith(b'"'):
         return None
+    position = {name: str(i) for i, name in enumerate(names)}
+    found = [c for c in columns if c in position]
+    numbers = [position[c] for c in found]
     try:
-        return pacsv.read_csv(
-            pa.BufferReader(content),
-            read_options=pacsv.ReadOptions(use_threads=False, block_size=len(content) + 1),
+        table = pacsv.read_csv(
+            pa.BufferReader(pa.py_buffer(content).slice(start)),
+            read_options=pacsv.ReadOptions(
+                use_threads=False, block_size=len(content) + 1,
+                column_names=[str(i) for i in range(len(names))],
+            ),
             parse_options=pacsv.ParseOptions(newlines_in_values=True),
             convert_options=pacsv.ConvertOptions(
-                column_types={c: pa.string() for c in columns},
-                include_columns=columns,
-                include_missing_columns=True,
+                column_types={n: pa.string() for n in numbers},
+                include_columns=numbers,
                 strings_can_be_null=False,
             ),
         )
     except pa.ArrowInvalid:
         return None
+    if not found:
+        return None
+    absent = pa.nulls(len(table), pa.string())
+    return pa.table(
+        [table.column(position[c]) if c in position else absent for c in columns], names=columns
+    )
 
 
 def as_text(stream: io.BufferedIOBase) -> io.TextIOWrapper:

@@ -67,8 +67,8 @@ def test_build_then_build_more(spark, folders, tmp_path):
 def test_stored_layout(spark, folders, tmp_path):
     rows = ingest.to_observations(archive.read_archives(spark, folders[0]))
     warehouse.write_observations(rows, folders[1])
-    files = sorted((tmp_path / "table").glob("year=*/*.parquet"))
-    assert {f.parent.name for f in files} == {"year=2023", "year=2024"}
+    files = sorted((tmp_path / "table").glob("year=*/*/*.parquet"))
+    assert {f.parent.parent.name for f in files} == {"year=2023", "year=2024"}
     assert warehouse.count_files(spark, folders[1]) == len(files)
     assert pq.ParquetFile(files[0]).metadata.row_group(0).column(0).compression == "ZSTD"
     assert not list((tmp_path / "table").rglob("*.part"))
