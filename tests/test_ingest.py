@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import tarfile
 from collections import Counter
 from contextlib import redirect_stdout
 
 import pytest
 from conftest import DAY, HEADER, station_file, write_archive
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stationdays.functions import parse_date, parse_number, percent, scan_price, tail_code
@@ -352,3 +355,54 @@ def test_small_expressions(spark):
     ))
     assert got == {"code": "NO", "pct": 75.0, "undefined": None, "whole": 6.25, "half": 3.125,
                    "free": 0.0}
+
+
+# ------------------------------------------------- both readers of archive members
+
+PIECES = [b",", b",", b'"', b'""', b"\n", b"\r\n", b"\r", b"A", b"B", b"x", b" ", b"\xef\xbb\xbf",
+          b"\x00", b"\xff", "é".encode(), b"NA", b"'", b"\\"]
+FIELDS = st.sampled_from([b"x", b"", b'"q,r"', b'"a""b"', b'"l\nm"', b" y ", b"1.5", b"\xff"])
+BEFORE = st.lists(
+    st.sampled_from([b",,\n", b"\n", b'"",""\n', b"\r\n", b"\xef\xbb\xbf", b",\r\n"]), max_size=3
+)
+HEADERS = st.sampled_from(
+    [b"A,B,C\n", b'"A","B"\r\n', b"B,A,B\n", b"A\n", b"C,Z,Q\n", b'"A\nx",B\n', b"x\n", b""]
+)
+
+
+@st.composite
+def member_bytes(draw):
+    content = b"".join(draw(BEFORE)) + (header := draw(HEADERS))
+    for _ in range(draw(st.integers(0, 4))):
+        fields = [draw(FIELDS) for _ in range(header.count(b",") + 1)]
+        content += b",".join(fields) + draw(st.sampled_from([b"\n", b"\r\n", b"\n\n", b""]))
+    return content + b"".join(draw(st.lists(st.sampled_from(PIECES), max_size=6)))
+
+
+@given(member_bytes())
+@settings(max_examples=3000, deadline=None)
+def test_both_readers_of_members_give_the_same_rows(content):
+    columns = ["A", "B", "C", "Z"]
+    table = archive.regular_table(content, columns)
+    if table is not None:
+        expected = list(archive.member_records(archive.as_text(io.BytesIO(content)), columns))
+        assert list(zip(*(table.column(c).to_pylist() for c in columns))) == expected
+
+
+@pytest.mark.parametrize("before", [b"", b",,\n", b'"","",""\r\n', b"\n", b"\xef\xbb\xbf", b"\xef\xbb\xbf,\n\r\n"])
+@pytest.mark.parametrize("header", [HEADER, HEADER[::-1], ["TEMP", *HEADER]])
+def test_no_size_of_member_changes_its_rows(spark, tmp_path, monkeypatch, before, header):
+    days = [{"STATION": f"s{i}", "TEMP": f" {i}.5"} for i in range(200)]
+    content = before + station_file(*days, header=header)
+    found = []
+    for few, whole in ((0, 1 << 26), (1 << 26, 1 << 26), (0, 0)):
+        monkeypatch.setattr(archive, "FEW_LINES_BYTES", few)
+        monkeypatch.setattr(archive, "WHOLE_MEMBER_BYTES", whole)
+        archived = write_archive(tmp_path / f"{few}-{whole}" / "2024.tar.gz", {"a.csv": content})
+        with tarfile.open(archived) as opened:
+            tables = archive.member_tables(opened, opened.getmembers(), ["STATION", "TEMP", "NAME"])
+            found.append([r for t in tables for r in t.to_pylist()])
+    assert found[0] == found[1] == found[2]
+    assert [(r["STATION"], r["TEMP"]) for r in found[0]] == [(d["STATION"], d["TEMP"]) for d in days]
+    # the usual size does go through the fast reader
+    assert archive.regular_table(content, ["STATION"]).num_rows == 200
