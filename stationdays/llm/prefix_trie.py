@@ -104,7 +104,8 @@ def with_shared_starts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def named_prefixes(turns: DataFrame, ids: DataFrame) -> DataFrame:
     """A row for every prefix of every conversation, the empty one included: its name (a, b),
-    that of the prefix before it (pa, pb) and of the whole conversation (ka, kb)."""
+    that of the prefix before it (pa, pb) and of the whole conversation (ka, kb), the bytes
+    of its last text and of all its texts."""
     upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -123,18 +124,20 @@ def named_prefixes(turns: DataFrame, ids: DataFrame) -> DataFrame:
     rows = (
         tags.withColumn("a", F.bit_xor("ta").over(upto))
         .withColumn("b", F.bit_xor("tb").over(upto))
+        .withColumn("upto_bytes", F.sum("n_bytes").over(upto))
         .join(keys, "conv_id")
         .select(
             "conv_id", "ka", "kb", (F.col("place") + 1).cast("long").alias("depth"), "a", "b",
             F.col("a").bitwiseXOR(F.col("ta")).alias("pa"),
             F.col("b").bitwiseXOR(F.col("tb")).alias("pb"),
-            "n_bytes",
+            "n_bytes", "upto_bytes",
         )
     )
     nothing = F.lit(None).cast("long")
     roots = keys.select(
         "conv_id", "ka", "kb", zero.alias("depth"), zero.alias("a"), zero.alias("b"),
         nothing.alias("pa"), nothing.alias("pb"), zero.alias("n_bytes"),
+        zero.alias("upto_bytes"),
     )
     return rows.unionByName(roots)
 
@@ -143,8 +146,7 @@ def build(prefixes: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFra
     """One row per node; for each height of the parts, from the lowest, the paths (a, b) above
     each cut, by the name (ka, kb) that they end in; and the tables that all this reads."""
     rows = cut_lineage(
-        prefixes.select("ka", "kb", "depth", "a", "b", "pa", "pb", "n_bytes")
-        .dropDuplicates(["ka", "kb", "depth"])
+        prefixes.drop("conv_id").dropDuplicates(["ka", "kb", "depth"])
     )
     tables, paths = [rows], []
     deepest = rows.agg(F.max("depth")).first()[0] or 0
@@ -162,45 +164,35 @@ def build(prefixes: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFra
             .join(last, met, "left")
             .select(
                 F.coalesce("ca", "ka").alias("ka"), F.coalesce("cb", "kb").alias("kb"),
-                "depth", "a", "b", "pa", "pb", "n_bytes", F.col("ca").isNotNull().alias("cut"),
+                *[c for c in rows.columns if c not in ("ka", "kb")],
+                F.col("ca").isNotNull().alias("cut"),
             )
             .dropDuplicates(["ka", "kb", "depth"])
         )
         tables.append(upper)
-        paths.insert(0, upper.where("cut").select("ka", "kb", "a", "b"))
+        paths.insert(0, upper.where("cut").select("ka", "kb", "a", "b", "pa", "pb", "depth"))
         rows = upper.drop("cut").unionByName(rows.where(~in_upper))
     return rows.drop("ka", "kb"), paths, tables
 
 
 def subtree_totals(
     nodes: DataFrame, paths: list[DataFrame], sums: list[str], least: list[str]
-) -> DataFrame:
-    """nodes (a, b, pa, pb, depth, ...) with the columns `sums` summed up over each node's
-    subtree, and the smallest of the columns `least` there."""
-    state = nodes
+) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b and, of the columns `sums` and `least` of nodes (a, b, pa, pb, depth, ...), the sums
+    and minima over each node's subtree; and the tables that they are read from."""
+    totals = [F.sum(c).alias(c) for c in sums] + [F.min(c).alias(c) for c in least]
+    place = ["a", "b", "pa", "pb", "depth"]
+    known, gains = nodes.select(*place, *sums, *least), []
     for k, path in enumerate(paths):
         half = 1 << k
-        totals = [F.sum(c).alias(c) for c in sums] + [F.min(c).alias(c) for c in least]
+        # what the roots of lower tries have, for each end of an upper trie's path
         below = (
-            state.where(F.col("depth") % (2 * half) == half)
+            known.where(F.col("depth") % (2 * half) == half)
             .groupBy(F.col("pa").alias("ka"), F.col("pb").alias("kb")).agg(*totals)
         )
-        gained = path.join(below, ["ka", "kb"]).groupBy("a", "b").agg(*totals).select(
-            "a", "b", *[F.col(c).alias(f"more_{c}") for c in sums + least]
-        )
-        joined = state.join(gained, ["a", "b"], "left")
-        others = [c for c in nodes.columns if c not in sums + least]
-        grown = cut_lineage(
-            joined.select(
-                *others,
-                *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in sums],
-                *[F.least(c, f"more_{c}").alias(c) for c in least],
-            )
-        )
-        if state is not nodes:
-            forget(state)
-        state = grown
-    return state
+        gains.append(cut_lineage(path.join(below, ["ka", "kb"]).groupBy(*place).agg(*totals)))
+        known = known.unionByName(gains[-1])
+    return known.groupBy("a", "b").agg(*totals), gains
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
@@ -246,37 +238,51 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     digest of the members that end there.
     """
     prefixes = cut_lineage(named_prefixes(turns, ids))
-    nodes, paths, tables = build(prefixes)
+    rows, paths, tables = build(prefixes)
     ends = prefixes.where("depth = 0").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "conv_id")
     ended = ends.groupBy("a", "b").agg(
-        F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id")
+        F.count("*").alias("ended"), F.min("conv_id").alias("conv_id")
     )
-    children = nodes.where("pa IS NOT NULL").groupBy(
+    children = rows.where("pa IS NOT NULL").groupBy(
         F.col("pa").alias("a"), F.col("pb").alias("b")
     ).agg(F.count("*").alias("n_children"))
     zero = F.lit(0).cast("long")
-    counted = cut_lineage(
-        nodes.join(ended, ["a", "b"], "left").join(children, ["a", "b"], "left").select(
-            "a", "b", "pa", "pb", "depth", "n_bytes", "conv_id",
+    nodes = cut_lineage(
+        rows.join(ended, ["a", "b"], "left").join(children, ["a", "b"], "left").select(
+            "a", "b", "pa", "pb", "depth", "n_bytes", "upto_bytes", "conv_id",
             F.coalesce("n_children", zero).alias("n_children"),
-            F.coalesce("n_convs", zero).alias("n_convs"),
+            F.coalesce("ended", zero).alias("n_convs"),
             F.col("n_children").isNull().cast("long").alias("n_leaves"),
+            (F.coalesce("ended", zero) * F.col("upto_bytes")).alias("ended_bytes"),
+            F.col("n_bytes").alias("node_bytes"),
+        )
+    )
+    totals, gains = subtree_totals(
+        nodes, paths, ["n_convs", "n_leaves", "ended_bytes", "node_bytes"], ["conv_id"]
+    )
+    # all members' bytes from the node on, less one copy of each
+    above = F.col("upto_bytes") - F.col("n_bytes")
+    saved = F.col("ended_bytes") - F.col("n_convs") * above - F.col("node_bytes")
+    found = cut_lineage(
+        nodes.select("a", "b", "pa", "pb", "depth", "n_bytes", "upto_bytes", "n_children")
+        .join(totals, ["a", "b"])
+        .select(
+            "a", "b", "pa", "pb", "conv_id", "depth", "n_convs", "n_children", "n_leaves",
+            saved.alias("saved_tokens"),
         )
     )
-    members = subtree_totals(counted, paths, ["n_convs", "n_leaves"], ["conv_id"])
-    saving = members.withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("n_bytes"))
-    totals = subtree_totals(saving, paths, ["saved_tokens"], [])
-    parents = members.select(
+    parents = found.select(
         F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id")
     )
-    found = totals.join(parents, ["pa", "pb"], "left").join(end_digests(ends), ["a", "b"], "left")
     result = cut_lineage(
-        found.select(
+        found.join(parents, ["pa", "pb"], "left")
+        .join(end_digests(ends), ["a", "b"], "left")
+        .select(
             "a", "b", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
             "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
         )
     )
-    forget(prefixes, counted, members, totals, *tables)
+    forget(prefixes, nodes, found, *gains, *tables)
     return result
 
 
