@@ -9,25 +9,29 @@ Raw rows are read once, into one history per station that is then kept reliably.
 The n draws of one replicate are made in either of two ways:
 
 "blocks"  Stations are split by hash into blocks. How many of the n draws fall
-          into a block is settled by halving the blocks again and again with
-          binomial counts, whose generator is seeded by the half's own place, so
-          every task finds its block's share by itself. The draws inside a block
-          need only that block. This is exactly n draws with replacement, with
-          nothing broadcast, no draw shuffled, and one partial sum per block and
-          replicate sent on. The default, at any number of stations.
+          into a block is settled by halving the blocks again and again: a half gets a
+          binomial count, which a hash of the seed, the replicate and the half's place
+          turns into a number. A task does this for some replicates and all blocks; then
+          every block and its counts meet in a task of their own, and draw inside the
+          block with a counter-based generator. This is exactly n draws with
+          replacement, with nothing broadcast, no draw shuffled, and one partial sum per
+          block and replicate sent on. The default, at any number of stations.
 "slots"   Slot s of replicate r takes station hash(seed, r, s) mod n. Plain SQL
           that any engine can repeat; the draws are rows joined to the stations.
 
-Neither depends on how Spark partitions the data: same seed, same interval.
+Neither depends on how Spark partitions the data: same seed, same interval. Both are
+functions of numbers and published hashes, so that another engine gives the same draws.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationdays.operators.panel import station_year_partials
@@ -41,11 +45,19 @@ INDEX_BUCKET_DIGITS = 3
 BROADCAST_STATIONS = 1_000_000
 DRAWS_PER_TASK = 4_000_000
 CELLS_PER_STEP = 1 << 20
+REPLICATES_PER_TASK = 32
+# ten standard deviations either way hold all of a binomial count but 1e-22 of it
+DEVIATIONS = 10
 
 ENDS = ["t0", "n0", "t1", "n1"]
 PANEL_ENDS = ["bt0", "bn0", "bt1", "bn1"]
 SUMS = [f"sum({c}) AS {c}" for c in ENDS + PANEL_ENDS]
 
+# Multiplier and key step of the Philox generator on two words of 32 bits.
+PHILOX_MULTIPLIER = 0xD256D193
+PHILOX_STEP = 0x9E3779B9
+PHILOX_ROUNDS = 7
+
 
 # ------------------------------------------------------------------ stations
 
@@ -184,17 +196,28 @@ def point_estimate(network: Network) -> DataFrame:
 
 
 def bootstrap_draws(
-    network: Network, resamples: int = 2000, seed: int = 42, method: str = "blocks"
+    network: Network,
+    resamples: int = 2000,
+    seed: int = 42,
+    method: str = "blocks",
+    stations_per_block: int = STATIONS_PER_BLOCK,
 ) -> DataFrame:
     """(replicate, naive, balanced, effect, share); undefined replicates have NULLs."""
-    return replicate_sums(network, resamples, seed, method).selectExpr("replicate", *EFFECT)
+    sums = replicate_sums(network, resamples, seed, method, stations_per_block)
+    return sums.selectExpr("replicate", *EFFECT)
 
 
 def replicate_sums(
-    network: Network, resamples: int = 2000, seed: int = 42, method: str = "blocks"
+    network: Network,
+    resamples: int = 2000,
+    seed: int = 42,
+    method: str = "blocks",
+    stations_per_block: int = STATIONS_PER_BLOCK,
 ) -> DataFrame:
     """replicate and, over the stations it drew, the sums of t0 ... bn1."""
-    return {"blocks": _block_sums, "slots": _slot_sums}[method](network, resamples, seed)
+    if method == "blocks":
+        return _block_sums(network, resamples, seed, stations_per_block)
+    return {"slots": _slot_sums}[method](network, resamples, seed)
 
 
 def interval(draws: DataFrame) -> DataFrame:
@@ -222,13 +245,14 @@ def composition_effect(
     resamples: int = 2000,
     seed: int = 42,
     method: str = "blocks",
+    stations_per_block: int = STATIONS_PER_BLOCK,
     station: str = "station",
     year: str = "year",
     value: str = "temp_c",
 ) -> DataFrame:
     """One row: point estimate, 95 % intervals, counts, whether zero is excluded."""
     network = station_network(observations, station, year, value)
-    bounds = interval(bootstrap_draws(network, resamples, seed, method))
+    bounds = interval(bootstrap_draws(network, resamples, seed, method, stations_per_block))
     found = bounds.selectExpr(f"struct({', '.join(bounds.columns)}) AS found").scalar()
     return (
         point_estimate(network)
@@ -245,6 +269,7 @@ def composition_effect(
 
 def effect_summary(effect: DataFrame) -> DataFrame:
     """The published precision: degrees to four places, shares in percent to one."""
+    # fixed values: the names of the published result
     return effect.selectExpr(
         "bround(naive_change, 4) AS naive_change_c",
         "bround(balanced_change, 4) AS balanced_change_c",
@@ -265,78 +290,167 @@ def effect_summary(effect: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- draws by blocks
 
 
-def block_bits(n_stations: int) -> int:
+def block_bits(n_stations: int, stations_per_block: int = STATIONS_PER_BLOCK) -> int:
     """Blocks are a power of two, so that each half is again a range of blocks."""
-    wanted = max(1, -(-n_stations // STATIONS_PER_BLOCK))
+    wanted = max(1, -(-n_stations // stations_per_block))
     return min(MOST_BLOCK_BITS, (wanted - 1).bit_length())
 
 
-def draws_in_block(
-    block: int, sizes: np.ndarray, resamples: int, seed: int
-) -> np.ndarray:
-    """How many draws of each replicate fall into one block.
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+
+
+def binomial_counts(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Quantiles u of binomial counts of n draws with chance p: the least count whose
+    distribution function exceeds u."""
+    out = np.where(p >= 1, n, 0)
+    todo = np.flatnonzero((n > 0) & (p > 0) & (p < 1))
+    # counts of like spread go together, in steps of bounded size
+    todo = todo[np.argsort(n[todo], kind="stable")]
+    while len(todo):
+        widest = int(DEVIATIONS * np.sqrt(n[todo[-1]] / 4)) + DEVIATIONS
+        step = max(1, CELLS_PER_STEP // (2 * widest + 1))
+        some, todo = todo[-step:], todo[:-step]
+        m, chance = n[some, None].astype(float), p[some, None]
+        mode = np.floor((m + 1) * chance)
+        k = mode + np.arange(1, widest + 1)
+        over = np.cumprod(np.maximum(m - k + 1, 0) / k * (chance / (1 - chance)), axis=1)
+        k = mode - np.arange(widest)
+        under = np.cumprod(np.maximum(k, 0) / (m - k + 1) * ((1 - chance) / chance), axis=1)
+        # shares of the mode's chance, from the least count to the greatest
+        weights = np.concatenate([under[:, ::-1], np.ones_like(m), over], axis=1)
+        upto = np.cumsum(weights, axis=1)
+        passed = (upto <= u[some, None] * upto[:, -1:]).sum(axis=1)
+        out[some] = np.clip(mode[:, 0] - widest + passed, 0, n[some])
+    return out
+
+
+def block_draws(sizes: np.ndarray, replicates: Sequence[int], seed: int) -> np.ndarray:
+    """How many draws fall into each block, a row for each replicate.
 
     All draws start in the whole range. A range's draws are divided between its
-    halves by one binomial count, seeded by the range, so every block that walks
-    through the range sees the same division.
+    halves by one binomial count, as the hash of seed, replicate and range says.
     """
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    low, high = 0, len(sizes)
-    draws = np.full(resamples, upto[-1], dtype=np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        whole, left = upto[high] - upto[low], upto[middle] - upto[low]
-        if whole == 0:
-            break
-        generator = np.random.default_rng([seed, low, high])
-        in_left = generator.binomial(draws, left / whole)
-        if block < middle:
-            high, draws = middle, in_left
-        else:
-            low, draws = middle, draws - in_left
+    bits = (len(sizes) - 1).bit_length()
+    draws = np.full((len(replicates), 1), int(sizes.sum()), np.int64)
+    for level in range(bits):
+        whole = sizes.reshape(1 << level, -1).sum(axis=1)
+        left = sizes.reshape(1 << (level + 1), -1).sum(axis=1)[::2]
+        chance = np.divide(left, whole, out=np.zeros(len(whole)), where=whole > 0)
+        u = np.array([
+            [int(_digest(f"{seed}:{r}:{level}:{node}")[:15], 16) if 0 < chance[node] < 1 else 0
+             for node in range(1 << level)]
+            for r in replicates
+        ]) / float(1 << 60)
+        chances = np.broadcast_to(chance, draws.shape)
+        in_left = binomial_counts(draws.ravel(), chances.ravel(), u.ravel()).reshape(draws.shape)
+        draws = np.stack([in_left, draws - in_left], axis=2).reshape(len(replicates), -1)
     return draws
 
 
+def philox(c0: np.ndarray, c1: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two random words of 32 bits for every counter (c0, c1) and key."""
+    low = np.uint64(0xFFFFFFFF)
+    for _ in range(PHILOX_ROUNDS):
+        product = c0 * np.uint64(PHILOX_MULTIPLIER)
+        c0, c1 = (product >> np.uint64(32)) ^ key ^ c1, product & low
+        key = (key + np.uint64(PHILOX_STEP)) & low
+    return c0, c1
+
+
+def picks(
+    draws: np.ndarray, replicates: Sequence[int], block: int, size: int, seed: int
+) -> np.ndarray:
+    """Places in a block of that size that its draws take, replicate by replicate."""
+    pairs = (draws + 1) // 2
+    digests = [_digest(f"{seed}:{r}:{block}") for r in replicates]
+    keys, counters = (
+        np.repeat(np.array([int(d[i : i + 8], 16) for d in digests], np.uint64), pairs)
+        for i in (0, 8)
+    )
+    numbers = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    words = np.stack(philox(numbers.astype(np.uint64), counters, keys), axis=1).ravel()
+    places = ((words * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+    # of an odd number of draws the last word is left over
+    over = np.cumsum(2 * pairs)[draws % 2 == 1] - 1
+    return np.delete(places, over)
+
+
 def block_replicates(
-    values: np.ndarray, draws: np.ndarray, block: int, seed: int
+    values: np.ndarray, draws: np.ndarray, replicates: Sequence[int], block: int, seed: int
 ) -> np.ndarray:
     """Sums of each column of `values` over the drawn rows, for every replicate."""
     size = len(values)
-    generator = np.random.default_rng([seed, block])
-    sums = np.empty((len(draws), values.shape[1]))
-    step = max(1, CELLS_PER_STEP // size)
-    for start in range(0, len(draws), step):
+    sums = np.zeros((len(draws), values.shape[1]))
+    step = max(1, CELLS_PER_STEP // max(size, 1))
+    for start in range(0, len(draws) if size else 0, step):
         some = draws[start:start + step]
-        picks = generator.integers(0, size, int(some.sum()))
-        cells = np.repeat(np.arange(len(some)) * size, some) + picks
+        taken = picks(some, replicates[start:start + step], block, size, seed)
+        cells = np.repeat(np.arange(len(some)) * size, some) + taken
         times = np.bincount(cells, minlength=len(some) * size).reshape(len(some), size)
         sums[start:start + step] = times @ values
     return sums
 
 
-def _block_sums(network: Network, resamples: int, seed: int) -> DataFrame:
-    bits = block_bits(network.n_stations)
+def dealt_draws(
+    spark: SparkSession, sizes: np.ndarray, resamples: int, seed: int
+) -> DataFrame:
+    """block, first and draws: of some replicates in a row, how many draws the block gets."""
+    tasks = max(1, -(-resamples // REPLICATES_PER_TASK))
+    filled = np.flatnonzero(sizes)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in batch["first"] if len(filled) else ():
+                last = min(first + REPLICATES_PER_TASK, resamples)
+                draws = block_draws(sizes, range(first, last), seed)
+                yield pd.DataFrame(
+                    {"block": filled, "first": first, "draws": list(draws.T[filled])}
+                )
+
+    firsts = spark.range(0, tasks, 1, tasks).selectExpr(f"id * {REPLICATES_PER_TASK} AS first")
+    return firsts.mapInPandas(deal, "block int, first long, draws array<long>")
+
+
+def blocks_and_draws(
+    network: Network, resamples: int, seed: int, stations_per_block: int = STATIONS_PER_BLOCK
+) -> DataFrame:
+    """Rows of stations and rows of draws, each block's in the partition of its number."""
+    bits = block_bits(network.n_stations, stations_per_block)
     sizes = network.stations_by_prefix.reshape(1 << bits, -1).sum(axis=1)
+    stations = network.stations.selectExpr(
+        f"shiftright(prefix, {MOST_BLOCK_BITS - bits}) AS block", "station", *ENDS, *PANEL_ENDS
+    )
+    draws = dealt_draws(network.stations.sparkSession, sizes, resamples, seed)
+    together = stations.unionByName(draws, allowMissingColumns=True)
+    # a block is a partition: hashing the numbers would put several into one
+    return together.repartitionById(len(sizes), "block")
+
+
+def _block_sums(
+    network: Network, resamples: int, seed: int, stations_per_block: int
+) -> DataFrame:
     columns = ENDS + PANEL_ENDS
 
-    def replicate_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[0])
-        values = rows.sort_values("station")[columns].to_numpy(dtype=float)
-        draws = draws_in_block(block, sizes, resamples, seed)
-        sums = pd.DataFrame(block_replicates(values, draws, block, seed), columns=columns)
-        sums.insert(0, "replicate", np.arange(resamples, dtype=np.int64))
-        return sums
+    def replicate_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # some thousand stations, and a number for each replicate
+        found = [batch for batch in batches if len(batch)]
+        if not found:
+            return
+        rows = pd.concat(found, ignore_index=True)
+        block = int(rows["block"].iloc[0])
+        is_draw = rows["draws"].notna()
+        draws = np.concatenate(rows[is_draw].sort_values("first")["draws"].tolist())
+        values = rows[~is_draw].sort_values("station")[columns].to_numpy(dtype=float)
+        sums = pd.DataFrame(
+            block_replicates(values, draws, range(len(draws)), block, seed), columns=columns
+        )
+        sums.insert(0, "replicate", np.arange(len(draws), dtype=np.int64))
+        yield sums
 
-    # the number of partitions is given, so adaptive execution keeps small blocks apart
     return (
-        network.stations.selectExpr(
-            f"shiftright(prefix, {MOST_BLOCK_BITS - bits}) AS block", "station", *columns
-        )
-        .repartition(len(sizes), "block")
-        .groupBy("block")
-        .applyInPandas(
-            replicate_block, "replicate long, " + ", ".join(f"{c} double" for c in columns)
-        )
+        blocks_and_draws(network, resamples, seed, stations_per_block)
+        .mapInPandas(replicate_block, "replicate long, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("replicate")
         .agg(*map(F.expr, SUMS))
     )

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationdays.operators import bootstrap
 from stationdays.operators.bootstrap import (
@@ -13,7 +14,7 @@ from stationdays.operators.bootstrap import (
     block_replicates,
     bootstrap_draws,
     composition_effect,
-    draws_in_block,
+    block_draws,
     effect_summary,
     station_network,
 )
@@ -152,8 +153,9 @@ def changes(sums):
     return naive, naive - (sums[6] / sums[7] - sums[4] / sums[5])
 
 
-def compare(spark, rows, method, replicate_sums):
-    got = bootstrap_draws(station_network(days(spark, rows)), 50, 42, method).collect()
+def compare(spark, rows, method, replicate_sums, per_block=1024):
+    network = station_network(days(spark, rows))
+    got = bootstrap_draws(network, 50, 42, method, per_block).collect()
     assert sorted(r["replicate"] for r in got) == list(range(50))
     for r in got:
         assert (r["naive"], r["effect"]) == pytest.approx(changes(replicate_sums[r["replicate"]]))
@@ -182,22 +184,22 @@ def test_slots_joined_by_shuffle_give_the_same(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("per_block", [1024, 4])
-def test_blocks_against_a_plain_loop(spark, monkeypatch, per_block):
-    monkeypatch.setattr(bootstrap, "STATIONS_PER_BLOCK", per_block)
+def test_blocks_against_a_plain_loop(spark, per_block):
     rows = newcomers(37, 11)
     stations = sorted({r[0] for r in rows})
-    values, bits = panel_values(rows, stations), block_bits(len(stations))
+    values, bits = panel_values(rows, stations), block_bits(len(stations), per_block)
     block = np.array([int(digest(s)[:4], 16) >> (16 - bits) for s in stations])
     sizes = np.bincount(block, minlength=1 << bits)
     sums = np.zeros((50, 8))
     for b in np.unique(block):
-        sums += block_replicates(values[block == b], draws_in_block(b, sizes, 50, 42), b, 42)
-    compare(spark, rows, "blocks", sums)
+        draws = block_draws(sizes, range(50), 42)[:, b]
+        sums += block_replicates(values[block == b], draws, range(50), b, 42)
+    compare(spark, rows, "blocks", sums, per_block)
 
 
 def test_every_replicate_draws_exactly_n_stations():
     sizes = np.array([5, 0, 17, 3, 1, 0, 0, 40])
-    draws = np.array([draws_in_block(b, sizes, 4000, 1) for b in range(len(sizes))])
+    draws = block_draws(sizes, range(4000), 1).T
     assert (draws.sum(axis=0) == sizes.sum()).all()
     assert (draws[sizes == 0] == 0).all()
     # each station is drawn once on average, with multinomial spread
@@ -209,12 +211,12 @@ def test_every_replicate_draws_exactly_n_stations():
 def test_draws_inside_a_block(monkeypatch):
     values = np.eye(6)
     draws = np.full(3000, 6)
-    times = block_replicates(values, draws, 3, 1)
+    times = block_replicates(values, draws, range(3000), 3, 1)
     assert (times.sum(axis=1) == 6).all()
     assert times.mean(axis=0) == pytest.approx(np.ones(6), abs=0.1)
     assert times.var(axis=0) == pytest.approx(np.full(6, 5 / 6), rel=0.15)
     monkeypatch.setattr(bootstrap, "CELLS_PER_STEP", 1)
-    assert block_replicates(values, draws, 3, 1).sum() == 18000
+    assert (block_replicates(values, draws, range(3000), 3, 1) == times).all()
 
 
 def test_both_ways_give_intervals_of_the_same_size(spark):
@@ -229,3 +231,61 @@ def test_block_counts_are_bounded():
     assert block_bits(0) == block_bits(full) == 0
     assert block_bits(full + 1) == 1 and block_bits(5 * full) == 3
     assert block_bits(10**9) == bootstrap.MOST_BLOCK_BITS
+
+
+def plain_philox(c0, c1, key):
+    for _ in range(7):
+        product = c0 * 0xD256D193
+        c0, c1 = (product >> 32) ^ key ^ c1, product & 0xFFFFFFFF
+        key = (key + 0x9E3779B9) & 0xFFFFFFFF
+    return c0, c1
+
+
+def test_picks_against_a_plain_loop():
+    draws = np.array([5, 0, 2, 1])
+    got = bootstrap.picks(draws, range(7, 11), 3, 100, 42).tolist()
+    expected = []
+    for r, n in zip(range(7, 11), draws.tolist()):
+        d = digest(f"42:{r}:3")
+        words = [w for i in range(3) for w in plain_philox(i, int(d[8:16], 16), int(d[:8], 16))]
+        expected += [w * 100 >> 32 for w in words[:n]]
+    assert got == expected
+
+
+def test_binomial_counts_are_quantiles():
+    from math import comb
+
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 60, 500)
+    left, whole = rng.integers(0, 9, 500), rng.integers(9, 12, 500)
+    p, u = left / whole, rng.random(500)
+    got = bootstrap.binomial_counts(n, p, u)
+    for i in range(500):
+        chances = [comb(int(n[i]), k) * p[i] ** k * (1 - p[i]) ** (n[i] - k) for k in range(n[i] + 1)]
+        upto = np.cumsum(chances)
+        assert got[i] == min(np.count_nonzero(upto <= u[i]), n[i])
+    # far out, certain and impossible ones
+    assert bootstrap.binomial_counts(
+        np.array([10, 10, 0, 1_000_000]), np.array([0.0, 1.0, 0.5, 0.5]), np.array([0.9, 0.1, 0.5, 0.5])
+    ).tolist() == [0, 10, 0, 500_000]
+
+
+def test_many_draws_in_bounded_steps(monkeypatch):
+    n, u = np.full(300, 100_000), (np.arange(300) + 0.5) / 300
+    whole = bootstrap.binomial_counts(n, np.full(300, 0.3), u)
+    monkeypatch.setattr(bootstrap, "CELLS_PER_STEP", 1)
+    assert (bootstrap.binomial_counts(n, np.full(300, 0.3), u) == whole).all()
+    assert whole.mean() == pytest.approx(30_000, rel=1e-3)
+    assert np.std(whole) == pytest.approx(np.sqrt(21_000), rel=0.05)
+
+
+def test_each_block_is_a_task_of_its_own(spark):
+    network = station_network(days(spark, newcomers(400, 100)))
+    rows = bootstrap.blocks_and_draws(network, 70, 42, 8)
+    assert block_bits(network.n_stations, 8) == 6
+    blocks = rows.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.countDistinct("block").alias("blocks"), F.min("block").alias("block"),
+        F.count("station").alias("stations"), F.sum(F.size("draws")).alias("counts"),
+    ).collect()
+    assert len(blocks) == 64 and all(r["blocks"] == 1 and r["block"] == r["task"] for r in blocks)
+    assert sum(r["stations"] for r in blocks) == network.n_stations

@@ -13,7 +13,7 @@ from stationdays.checks.oracle import ORACLE_SQL
 from stationdays.checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"file_manifest", "column_scan_cost", "bootstrap_ci_blocks"}
+WITHOUT_SQL = {"file_manifest", "column_scan_cost"}
 
 
 @pytest.fixture(scope="module")
