@@ -6,14 +6,14 @@ bucket, summed in Spark, give one matrix of log-probabilities, which is broadcas
 of texts is scored by gathering the matrix's rows of all its n-grams and summing them by
 text. Log-probabilities are whole numbers of 2**-20, so that sums don't depend on their order.
 
-The model learns from at most SAMPLE_ROWS documents of each language, whole texts, chosen
-by a hash of their ids; only the matrix reaches the driver. It holds at most MATRIX_CELLS
+The model learns from about SAMPLE_ROWS documents of each language, whole texts, chosen
+by a hash of their ids; only the matrix and a count per language reach the driver. It holds at most MATRIX_CELLS
 numbers, as more than 64 languages make do with fewer buckets each. All languages are
 equally likely at first.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if there
 is nothing to learn from. Rows without an id, text or language teach nothing and are
-predicted. A document that comes repeatedly may teach repeatedly, within the bound. Ties go to
+predicted. Rows with one id teach together or not at all. Ties go to
 the language that is first by code points. An empty table gives an empty result.
 """
 
@@ -24,14 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationdays.llm.classifier import is_held_out
 from stationdays.llm.words import mix, runs
 
 SAMPLE_ROWS = 4_000
-"""Documents of one language, at most, that the model learns from."""
+"""Documents of one language that the model learns from, about; all, if there are fewer."""
+
+CHANCES = 1 << 40
 
 LONGEST = 3
 MATRIX_CELLS = 1 << 22
@@ -120,27 +122,33 @@ class Model:
         return names, share
 
 
-def training_rows(
-    documents: DataFrame, most: int = SAMPLE_ROWS, language: str = "lang"
-) -> DataFrame:
-    """lang, text of at most so many documents of each language outside the held-out fold."""
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+def teaching(documents: DataFrame, language: str = "lang") -> DataFrame:
+    """doc_id, lang, text of the documents that may teach."""
     return (
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col(language).alias("lang"), "text"
         )
         .where("lang IS NOT NULL AND text IS NOT NULL")
         .where(~is_held_out(F.col("doc_id")))
-        .withColumn("turn", F.row_number().over(turn))
-        .where(F.col("turn") <= most)
-        .select("lang", "text")
+    )
+
+
+def sampled(rows: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """About `most` of the rows of each language, by a hash of their ids, where they are."""
+    shares = [(lang, min(CHANCES, -(-most * CHANCES // n))) for lang, n in counts.items()]
+    share = rows.sparkSession.createDataFrame(shares, "of string, below long")
+    # a row per language, which are as many as the driver has counted
+    return rows.join(F.broadcast(share), F.col("lang") == F.col("of")).where(
+        F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(CHANCES)) < F.col("below")
     )
 
 
 def train(documents: DataFrame, most: int = SAMPLE_ROWS, language: str = "lang") -> Model:
     """A model of the languages of documents (doc_id, text, lang)."""
-    rows = training_rows(documents, most, language)
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    rows = teaching(documents, language)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
+    rows = sampled(rows, counts, most).select("lang", "text")
     buckets = BUCKETS
     while buckets > 2 and buckets * len(languages) > MATRIX_CELLS:
         buckets //= 2
