@@ -76,6 +76,15 @@ def archive_roundtrip(spark, sf_dir):
     return ingest.to_observations(archive.read_archives(spark, folder))
 
 
+@query
+def archives_of_some_years(spark, sf_dir):
+    """Conditions on the year of the rows, by which whole archives are left out."""
+    folder = scratch_folder(spark, "pruned")
+    write_archives(order_text_rows(spark, sf_dir), folder)
+    rows = archive.read_archives(spark, folder).where((F.col("year") > YEAR - 3) & (F.col("year") != YEAR))
+    return ingest.to_observations(rows.where(F.col("STATION") < "00000000100"))
+
+
 @query
 def archive_odd_headers(spark, sf_dir):
     """Members of any size whose header isn't their plain first line."""
@@ -424,6 +433,15 @@ def annual_vs_balanced(spark, sf_dir):
     return panel.annual_vs_balanced(order_observations(spark, sf_dir))
 
 
+@query
+def annual_vs_balanced_of_stored(spark, sf_dir):
+    """The same from a stored dataset, whose list of commits says which years there are."""
+    folder = scratch_folder(spark, "panel")
+    warehouse.write_observations(order_observations(spark, sf_dir), folder)
+    stored = warehouse.open_observations(spark, folder, schema=None, view=None)
+    return panel.annual_vs_balanced(stored, years=warehouse.committed_years(spark, folder))
+
+
 @query
 def panel_gap(spark, sf_dir):
     return panel.panel_gap(panel.annual_vs_balanced(order_observations(spark, sf_dir)))

@@ -68,8 +68,56 @@ def balanced_panel(
     )
 
 
-def _with_membership(observations: DataFrame, station: str, year: str, value: str) -> DataFrame:
-    """Partials, flagged with whether their station has a value in every year of the data."""
+def station_vectors(
+    observations: DataFrame,
+    years: Sequence[int],
+    station: str = "station",
+    year: str = "year",
+    value: str = "temp_c",
+) -> DataFrame:
+    """station and, in the order of years, the arrays `totals` and `counts` of its values.
+
+    One aggregation, in which a station is one partial row of each task. Rows of other
+    years are not read where the year is a partition.
+    """
+    measured = F.when(is_measured(F.col(value)), F.col(value))
+    of_year = [F.when(F.col(year) == y, measured) for y in years]
+    return (
+        observations.where(F.col(year).isin(list(years)))
+        .groupBy(F.col(station).alias("station"))
+        .agg(
+            F.array(*map(F.sum, of_year)).alias("totals"),
+            F.array(*map(F.count, of_year)).alias("counts"),
+        )
+    )
+
+
+def _from_vectors(vectors: DataFrame, years: Sequence[int]) -> DataFrame:
+    """The same rows as `_with_membership` gives."""
+    always = F.forall("counts", lambda n: n > 0) & F.col("station").isNotNull()
+    listed = F.arrays_zip(F.array(*map(F.lit, years)).alias("year"), "totals", "counts")
+    return (
+        vectors.withColumn("in_panel", always)
+        .select("station", "in_panel", F.explode(listed).alias("of"))
+        .select(
+            "station", F.col("of.year").alias("year"), F.col("of.totals").alias("total"),
+            F.col("of.counts").alias("n"), "in_panel",
+        )
+        .where("n > 0")
+    )
+
+
+def _with_membership(
+    observations: DataFrame, station: str, year: str, value: str, years: Sequence[int] | None
+) -> DataFrame:
+    """Partials, flagged with whether their station has a value in every year of the data.
+
+    With `years`, which are to be all years of the data, this is one scan and one shuffle of a
+    row per station; without, years are counted by another scan of their column alone.
+    """
+    if years:
+        years = sorted(set(years))
+        return _from_vectors(station_vectors(observations, years, station, year, value), years)
     partials = station_year_partials(observations, station, year, value)
     years_of_station = F.count("year").over(Window.partitionBy("station"))
     return partials.withColumn(
@@ -84,10 +132,12 @@ def balanced_temperature(
     station: str = "station",
     year: str = "year",
     value: str = "temp_c",
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Yearly mean over the stations that have a value in every year."""
+    """Yearly mean over the stations that have a value in every year; `years`, if given, are
+    all years of the data, as the list of what is stored has them."""
     return (
-        _with_membership(observations, station, year, value)
+        _with_membership(observations, station, year, value, years)
         .where("in_panel")
         .groupBy("year")
         .agg(
@@ -104,6 +154,7 @@ def annual_vs_balanced(
     station: str = "station",
     year: str = "year",
     value: str = "temp_c",
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Yearly means of all stations and of the panel side by side, from one scan.
 
@@ -112,7 +163,7 @@ def annual_vs_balanced(
     panel_total = F.sum(F.when(F.col("in_panel"), F.col("total")))
     panel_n = F.sum(F.when(F.col("in_panel"), F.col("n")))
     return (
-        _with_membership(observations, station, year, value)
+        _with_membership(observations, station, year, value, years)
         .groupBy("year")
         .agg(
             F.count("station").alias("stations"),

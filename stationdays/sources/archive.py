@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import csv
 import io
+import operator
 import re
 import sys
 import tarfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from operator import itemgetter
 
@@ -32,12 +33,27 @@ import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+)
 
 from stationdays.schema import RAW_COLUMNS, RAW_SCHEMA
 from stationdays.sources.files import filesystem_and_path, ship_by_value
 
 FORMAT = "station_archive"
+PUSH_FILTERS = "spark.sql.python.filterPushdown.enabled"
 ARCHIVE_NAME = re.compile(r"^(\d{4})\.tar\.gz$")
 RECORDS_PER_BATCH = 8192
 FEW_LINES_BYTES = 8 << 10
@@ -72,6 +88,30 @@ def list_archives(folder: str) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
+COMPARED = {
+    EqualTo: operator.eq, EqualNullSafe: operator.eq, GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
+}
+
+
+def year_test(condition: Filter) -> Callable[[int], bool] | None:
+    """A condition on the year of an archive, None for any other condition."""
+    if isinstance(condition, Not):
+        inner = year_test(condition.child)
+        return None if inner is None else lambda year: not inner(year)
+    if getattr(condition, "attribute", None) != ("year",):
+        return None
+    if isinstance(condition, IsNotNull):
+        return lambda year: True
+    if isinstance(condition, In):
+        return lambda year: year in condition.value
+    compare = COMPARED.get(type(condition))
+    # (comparing with NULL, which is never true, is left to Spark)
+    if compare is None or condition.value is None:
+        return None
+    return lambda year: compare(year, condition.value)
+
+
 def slices_for(size: int, slice_bytes: int) -> int:
     return max(1, min(MOST_SLICES, -(-size // slice_bytes)))
 
@@ -242,12 +282,24 @@ class ArchiveReader(DataSourceReader):
         self.columns = columns
         self.tasks = tasks
         self.slice_bytes = slice_bytes
+        self.tests: list[Callable[[int], bool]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Conditions on the year choose archives, and hold for all of their rows; others are
+        handed back."""
+        for condition in filters:
+            test = year_test(condition)
+            if test is None:
+                yield condition
+            else:
+                self.tests.append(test)
 
     def partitions(self) -> list[ArchiveSlice]:
         chosen = [
             found for found in list_archives(self.folder)
             if self.years is None or found[1] in self.years
         ]
+        chosen = [found for found in chosen if all(test(found[1]) for test in self.tests)]
         # as many slices as keep the tasks busy: many archives are not cut at all,
         # and of a few the largest are cut most
         even = sum(size for _, _, size in chosen) // self.tasks
@@ -306,9 +358,10 @@ def read_archives(
 ) -> DataFrame:
     """Raw text rows of the archives below a folder, with the archive's year.
 
-    `years` prunes whole archives before any is opened. A slice is sized to give
-    every core two tasks, or as `slice_bytes` says.
+    `years`, and conditions on the column `year`, prune whole archives before any is opened.
+    A slice is sized to give every core two tasks, or as `slice_bytes` says.
     """
+    spark.conf.set(PUSH_FILTERS, "true")
     spark.dataSource.register(StationArchives)
     tasks = 2 * spark.sparkContext.defaultParallelism
     reader = spark.read.format(FORMAT).option("tasks", str(tasks))

@@ -251,6 +251,13 @@ def _year(partition: str) -> int | None:
     return int(value) if value.isdigit() else None
 
 
+def committed_years(spark: SparkSession, folder: str) -> list[int]:
+    """Years with rows, from the list of commits alone."""
+    committed = (snapshots.latest(spark, folder.rstrip("/")) or {}).values()
+    years = (_year(c.partition) for c in committed if c.rows)
+    return sorted(y for y in years if y is not None)
+
+
 def existing_years(spark: SparkSession, folder: str) -> DataFrame:
     """Years that need no ingest: committed, with or without rows, and undamaged since.
 

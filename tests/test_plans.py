@@ -7,16 +7,18 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from conftest import station_file, write_archive
 
 from stationdays.checks.queries import QUERIES
 from stationdays.checks.tables import order_text_rows
 from stationdays.operators import bootstrap, panel, questions
 from stationdays.schema import EVENT_FLAGS
-from stationdays.sources import ingest, warehouse
+from stationdays.sources import archive, ingest, warehouse
 
 SMALL = "/root/testdata/sf0.001"
 # these hand rows to Python on purpose: files Spark cannot read, draws, or to compare
-PYTHON = {"archive_roundtrip", "csv_quoted_scan", "csv_header_binding", "bootstrap_ci_blocks",
+PYTHON = {"archive_roundtrip", "archive_odd_headers", "archive_odd_records",
+          "archives_of_some_years", "csv_quoted_scan", "csv_header_binding", "bootstrap_ci_blocks",
           "bootstrap_block_invariants", "nation_file_manifest",
           "pushdown_arms_agree", "column_scan_cost", "file_manifest"}
 
@@ -84,14 +86,45 @@ def test_ingest_is_one_projection(spark):
     assert "Exchange" not in text and "Python" not in text
 
 
-def test_blocks_move_stations_once_and_draws_never(stored, monkeypatch):
-    monkeypatch.setattr(bootstrap, "STATIONS_PER_BLOCK", 16)
+def test_blocks_move_stations_once_and_draws_never(stored):
     network = bootstrap.station_network(stored)
-    text = plan(bootstrap.bootstrap_draws(network, 100))
+    text = plan(bootstrap.bootstrap_draws(network, 100, stations_per_block=16))
     assert "Join" not in text and "Broadcast" not in text
-    # stations to their blocks, and one partial sum per block and replicate
-    assert re.findall(r"Exchange \w+\((\w+)#\d+\w*, (\d+)\)", text) == [
-        ("replicate", "8"), ("block", "16")]
+    # stations to their blocks' partitions, and one partial sum per block and replicate
+    assert text.count("Exchange") == 2
+    assert re.findall(r"Exchange \w+\((\w+)#\d+\w*, (\d+)\)", text)[0] == ("replicate", "8")
+    assert re.search(r"Exchange shufflepartitionidpassthrough\(.*16\)", text, re.IGNORECASE)
+
+
+def test_panel_of_known_years_is_one_scan_and_two_shuffles(stored):
+    years = sorted(r["year"] for r in stored.select("year").distinct().collect())
+    for question in (panel.balanced_temperature, panel.annual_vs_balanced):
+        text = plan(known := question(stored, years=years))
+        assert "Join" not in text and "Window" not in text
+        assert read_columns(known) == [{"station", "temp_c"}]
+        assert re.findall(r"Exchange hashpartitioning\((\w+)#", text) == ["year", "station"]
+        assert text.rindex("partial_sum(") > text.rindex("Exchange hashpartitioning(station")
+        assert known.collect() == question(stored).collect()
+
+
+def test_conditions_on_the_year_choose_archives(spark, tmp_path, monkeypatch):
+    for year in range(2001, 2006):
+        write_archive(tmp_path / f"{year}.tar.gz", {"a.csv": station_file({"DATE": f"{year}-01-01"})})
+    rows = archive.read_archives(spark, str(tmp_path))
+
+    def kept(condition):
+        found = rows.where(condition)
+        years = sorted(r["year"] for r in found.collect())
+        # an archive is a partition; others are not opened
+        return years, found.rdd.getNumPartitions()
+
+    assert kept("year = 2003") == ([2003], 1)
+    assert kept("year > 2001 AND year <= 2003 AND year <> 2002") == ([2003], 1)
+    assert kept("year IN (2001, 2005, 1999)") == ([2001, 2005], 2)
+    assert kept("year >= 2004 AND STATION LIKE '555%'") == ([2004, 2005], 2)
+    assert kept("NOT (year < 2005)") == ([2005], 1)
+    assert kept("STATION IS NULL")[0] == [] and kept("year = NULL")[0] == []
+    assert kept("year + 1 = 2003")[0] == [2002]
 
 
 def test_slots_broadcast_stations_only_when_few(stored, monkeypatch):
