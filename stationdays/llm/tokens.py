@@ -90,8 +90,10 @@ class PieceEncoder:
         self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(pieces), np.uint8)])
         # of pieces with one hash the first to come is remembered
         fresh, first = np.unique(hashes, return_index=True)
-        first = first[~np.isin(fresh, self._hashes)]
-        at = np.searchsorted(self._hashes, hashes[first])
+        at = np.searchsorted(self._hashes, fresh)
+        if len(self._hashes):
+            new = self._hashes[np.minimum(at, len(self._hashes) - 1)] != fresh
+            at, first = at[new], first[new]
         self._hashes = np.insert(self._hashes, at, hashes[first])
         self._starts = np.insert(self._starts, at, starts[first])
         self._lengths = np.insert(self._lengths, at, lengths[first])
