@@ -18,8 +18,6 @@ their findings.
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
-from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -239,19 +237,22 @@ def licence_lines(
             "most": F.lit(size_bounds(places, least_percent)[1]),
         }
         rows.append(F.struct(*(c.alias(n) for n, c in fields.items())))
-    # a word with another one inside it asks for nothing more
-    needed = {w for w in needed if not any(v != w and v in w for v in needed)}
     whole = F.lower(F.coalesce(F.col(text), F.lit("")))
-    may_match = reduce(or_, [F.contains(whole, F.lit(w)) for w in sorted(needed)])
+    # one pass over the words, however many are asked for
+    asked = F.split(F.lit("|".join(sorted(needed))), "[|]")
+    may_match = F.arrays_overlap(F.split(whole, "[^a-z0-9]+"), asked)
 
-    def of_words(tokens: Column, words: Column, pairs: Column) -> Column:
-        near = F.filter(
+    def near(words: Column, pairs: Column) -> Column:
+        """Templates that the document may hold, by its words and pairs alone."""
+        return F.filter(
             F.array(*rows),
             lambda t: (F.size(pairs) >= t.least)
             & F.forall(t.needed, lambda group: F.arrays_overlap(group, words))
             & (F.size(F.array_intersect(pairs, t.own)) >= t.least),
         )
-        found = F.flatten(F.transform(near, lambda t: passages(tokens, pairs, t, least_percent)))
+
+    def in_tokens(tokens: Column, pairs: Column, able: Column) -> Column:
+        found = F.flatten(F.transform(able, lambda t: passages(tokens, pairs, t, least_percent)))
         kept = bound(F.array_sort(found), not_overlapping)
         return F.transform(
             kept,
@@ -261,18 +262,23 @@ def licence_lines(
             ),
         )
 
+    def of_words(words: Column, pairs: Column) -> Column:
+        # lines and clauses matter only where a template is near
+        return bound(
+            near(words, pairs),
+            lambda able: F.when(
+                F.size(able) > 0,
+                bound(tokens_of(whole), lambda tokens: in_tokens(tokens, pairs, able)),
+            ),
+        )
+
     def pairs_in(words: Column) -> Column:
         left = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
         right = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
         return F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
 
-    found = bound(
-        tokens_of(whole),
-        lambda tokens: bound(
-            F.transform(tokens, lambda t: t.word),
-            lambda words: bound(pairs_in(words), lambda pairs: of_words(tokens, words, pairs)),
-        ),
-    )
+    words = F.filter(words_of(whole), lambda w: w != "")
+    found = bound(words, lambda w: bound(pairs_in(w), lambda pairs: of_words(w, pairs)))
     return documents.where(may_match).select(F.col(id).alias(id), F.inline(found))
 
 
