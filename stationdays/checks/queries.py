@@ -29,7 +29,7 @@ from stationdays.functions import (
     to_celsius,
     without_sentinel,
 )
-from stationdays.operators import bootstrap, panel, pushdown, questions, reconcile, scancost
+from stationdays.operators import bootstrap, distinct, panel, pushdown, questions, reconcile, scancost
 from stationdays.schema import EVENT_FLAGS, RAW_COLUMNS, SENTINELS
 from stationdays.session import scratch_folder
 from stationdays.sources import (
@@ -189,6 +189,21 @@ def report_readback(spark, sf_dir):
     return report.read_section(spark, folder, "event_counts", counts.schema)
 
 
+@query
+def report_document_section(spark, sf_dir):
+    """Two arrays of records inside one JSON document, one of them read back."""
+    folder = scratch_folder(spark, "document")
+    days = order_observations(spark, sf_dir)
+    counts = questions.event_counts(days, YEAR)
+    records = F.collect_list(F.struct(*counts.columns)).alias("event_counts")
+    document = counts.agg(records, F.lit(YEAR).alias("year")).withColumn(
+        "other", F.array(F.struct(F.lit("x").alias("event")))
+    )
+    document.coalesce(1).write.option("pretty", True).json(folder)
+    found = report.read_document_section(spark, folder, "event_counts")
+    return found.select(*[F.col(c).cast(t).alias(c) for c, t in counts.dtypes])
+
+
 @query
 def file_manifest(spark, sf_dir):
     return manifest.file_manifest(spark, sf_dir, "*.parquet").select(
@@ -242,6 +257,32 @@ def manifest_missing_provenance(spark, sf_dir):
 # ------------------------------------------------------------ row-level functions
 
 
+def _station_bitmaps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    days = order_observations(spark, sf_dir).withColumn("month", F.month("date"))
+    index = distinct.entity_index(days)
+    return days, distinct.entity_bitmaps(days, index, ["year", "month"])
+
+
+@query
+def distinct_stations_by_bitmap(spark, sf_dir):
+    """Stations of every year, of every month of any year, and of all, from the same bitmaps."""
+    _, bitmaps = _station_bitmaps(spark, sf_dir)
+    none = F.lit(None).cast("int")
+    yearly = distinct.distinct_of_bitmaps(bitmaps, ["year"], "stations")
+    monthly = distinct.distinct_of_bitmaps(bitmaps, ["month"], "stations")
+    whole = distinct.distinct_of_bitmaps(bitmaps, name="stations")
+    return (
+        yearly.select("year", none.alias("month"), "stations")
+        .unionByName(monthly.select(none.alias("year"), "month", "stations"))
+        .unionByName(whole.select(none.alias("year"), none.alias("month"), "stations"))
+    )
+
+
+@query
+def table_stats_by_bitmap(spark, sf_dir):
+    return distinct.stats_of_bitmaps(*_station_bitmaps(spark, sf_dir))
+
+
 @query
 def needed_columns(spark, sf_dir):
     return questions.needed_columns(order_observations(spark, sf_dir), *EVENT_FLAGS)
@@ -557,7 +598,8 @@ def pushdown_arms_agree(spark, sf_dir):
 
 @query
 def column_scan_cost(spark, sf_dir):
-    chunks = scancost.column_chunks(spark, sf_dir, "orders.parquet")
+    """All columns of all tables against four of the orders'."""
+    chunks = scancost.column_chunks(spark, sf_dir, "*.parquet")
     return scancost.column_scan_cost(
         scancost.column_bytes(chunks),
         ["o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"],

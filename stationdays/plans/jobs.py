@@ -45,7 +45,7 @@ def build_warehouse(
     todo = sorted(row["year"] for row in missing.collect())
 
     if todo:
-        without = sorted(set(todo) - {year for _, year, _ in archive.list_archives(archives)})
+        without = sorted(set(todo) - archive.archive_years(spark, archives))
         if without:
             raise FileNotFoundError(f"no archive below {archives} for {without}")
         rows = ingest.to_observations(archive.read_archives(spark, archives, todo))
@@ -60,7 +60,7 @@ def build_warehouse(
     )
     stored = warehouse.open_observations(spark, folder, view=None)
     # without any archive left there is nothing to checksum: entries say so
-    kept = {year for _, year, _ in archive.list_archives(archives)} & set(years)
+    kept = archive.archive_years(spark, archives) & set(years)
     checksums = (
         manifest.file_manifest(spark, archives, manifest.archive_glob(kept))
         if kept

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
@@ -50,7 +51,7 @@ from pyspark.sql.datasource import (
 )
 
 from stationdays.schema import RAW_COLUMNS, RAW_SCHEMA
-from stationdays.sources.files import filesystem_and_path, ship_by_value
+from stationdays.sources.files import arrow_opens, filesystem_and_path, ship_by_value
 
 FORMAT = "station_archive"
 PUSH_FILTERS = "spark.sql.python.filterPushdown.enabled"
@@ -360,7 +361,12 @@ def read_archives(
 
     `years`, and conditions on the column `year`, prune whole archives before any is opened.
     A slice is sized to give every core two tasks, or as `slice_bytes` says.
+
+    Where only Spark knows the folder's filesystem, archives come as whole binary values of
+    up to 2 GB, one task each, and conditions on the year are applied to rows.
     """
+    if not arrow_opens(folder):
+        return _read_through_spark(spark, folder, years)
     spark.conf.set(PUSH_FILTERS, "true")
     spark.dataSource.register(StationArchives)
     tasks = 2 * spark.sparkContext.defaultParallelism
@@ -372,5 +378,47 @@ def read_archives(
     return reader.load(folder)
 
 
+def archive_files(spark: SparkSession, folder: str, years: Iterable[int] | None = None) -> DataFrame:
+    """(path, year, length, content) of archives below a folder of any filesystem of Spark's;
+    contents are read only if they are asked for."""
+    names = "*" if years is None else "{" + ",".join(str(int(y)) for y in sorted(set(years))) + "}"
+    year = F.regexp_extract("path", r"/(\d{4})\.tar\.gz$", 1).try_cast("int")
+    return (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", f"{names}.tar.gz")
+        .option("recursiveFileLookup", True)
+        .load(folder)
+        .select("path", year.alias("year"), "length", "content")
+        .where("year IS NOT NULL")
+    )
+
+
+def archive_years(spark: SparkSession, folder: str) -> set[int]:
+    """Years that have an archive below a folder."""
+    return {r["year"] for r in archive_files(spark, folder).select("year").distinct().collect()}
+
+
+def _read_through_spark(
+    spark: SparkSession, folder: str, years: Iterable[int] | None
+) -> DataFrame:
+    schema = RAW_SCHEMA
+    columns = schema.names[:-1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                year, content = (batch.column(c)[i] for c in ("year", "content"))
+                source = pa.BufferReader(content.as_buffer())
+                with tarfile.open(fileobj=source, mode="r:gz") as archive:
+                    whole = ArchiveSlice("", year.as_py(), 0, 1)
+                    members = ArchiveReader.members(archive, whole)
+                    yield from batches_of_year(member_tables(archive, members, columns), whole.year)
+
+    if years is not None and not (years := set(years)):
+        return spark.createDataFrame([], schema)
+    return archive_files(spark, folder, years).select("year", "content").mapInArrow(rows, schema)
+
+
 assert RAW_SCHEMA.names[-1] == "year" and RAW_SCHEMA.names[:-1] == RAW_COLUMNS
 ship_by_value(__name__)

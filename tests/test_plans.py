@@ -8,12 +8,14 @@ from contextlib import redirect_stdout
 
 import pytest
 from conftest import station_file, write_archive
+from pyspark.sql import functions as F
 
 from stationdays.checks.queries import QUERIES
 from stationdays.checks.tables import order_text_rows
-from stationdays.operators import bootstrap, panel, questions
+from stationdays.operators import bootstrap, distinct, panel, questions
+from stationdays.plans import jobs
 from stationdays.schema import EVENT_FLAGS
-from stationdays.sources import archive, ingest, warehouse
+from stationdays.sources import archive, files, ingest, warehouse
 
 SMALL = "/root/testdata/sf0.001"
 # these hand rows to Python on purpose: files Spark cannot read, draws, or to compare
@@ -107,6 +109,43 @@ def test_panel_of_known_years_is_one_scan_and_two_shuffles(stored):
         assert known.collect() == question(stored).collect()
 
 
+def test_bitmaps_count_what_distinct_counts(spark, stored):
+    index = distinct.entity_index(stored)
+    bitmaps = distinct.entity_bitmaps(stored, index, ["year"])
+    stats = distinct.stats_of_bitmaps(stored, bitmaps)
+    assert stats.collect() == questions.table_stats(stored).select(stats.columns).collect()
+    assert "Expand" not in plan(stats)
+    yearly = distinct.distinct_of_bitmaps(bitmaps, ["year"], "n").orderBy("year").collect()
+    expected = stored.groupBy("year").agg(F.countDistinct("station").alias("n")).orderBy("year")
+    assert yearly == expected.collect()
+    nothing = distinct.entity_bitmaps(stored.limit(0), index, ["year"])
+    assert distinct.distinct_of_bitmaps(nothing).collect()[0][0] == 0
+    # more stations than one bitmap holds, and rows without one
+    many = spark.range(70_000).selectExpr("IF(id = 5, NULL, id % 69000) AS station", "id % 3 AS year")
+    wide = distinct.entity_bitmaps(many, distinct.entity_index(many), ["year"])
+    assert wide.select("bucket").distinct().count() == 3
+    assert distinct.distinct_of_bitmaps(wide).collect()[0][0] == 69_000
+
+
+def test_archives_of_a_filesystem_that_only_spark_knows(spark, tmp_path):
+    for year in (2001, 2002, 2003):
+        write_archive(tmp_path / "in" / f"{year}.tar.gz", {
+            "a.csv": station_file({"DATE": f"{year}-01-01"}), "b.txt": b"STATION\nx\n"})
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    settings.set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}/in")
+    folder = "viewfs://kept/in"
+    plain = archive.read_archives(spark, str(tmp_path / "in"))
+    assert not files.arrow_opens(folder) and files.arrow_opens(str(tmp_path))
+    rows = archive.read_archives(spark, folder)
+    assert rows.schema == plain.schema and sorted(rows.collect()) == sorted(plain.collect())
+    chosen = archive.read_archives(spark, folder, [2001, 2003]).where("year > 2001")
+    assert [r["year"] for r in chosen.collect()] == [2003]
+    assert archive.read_archives(spark, folder, []).isEmpty()
+    built = jobs.build_warehouse(
+        spark, folder, str(tmp_path / "table"), str(tmp_path / "log"), [2002, 2003])
+    assert [(r["year"], r["rows"]) for r in built.collect()] == [(2002, 1), (2003, 1)]
+
+
 def test_conditions_on_the_year_choose_archives(spark, tmp_path, monkeypatch):
     for year in range(2001, 2006):
         write_archive(tmp_path / f"{year}.tar.gz", {"a.csv": station_file({"DATE": f"{year}-01-01"})})
