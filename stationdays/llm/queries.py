@@ -113,4 +113,5 @@ ORACLE_SQL = {
     "op7_licence_scan": licences.ORACLE,
     "op9_line_dedup": lines.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_word_runs": word_runs.ORACLE,
 }

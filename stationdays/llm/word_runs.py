@@ -345,3 +345,71 @@ def run_digest(documents: DataFrame) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+ORACLE = r"""
+WITH given AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own,
+           xor(
+               list_reduce(
+                   flatten(list_transform(
+                       range(0, length(CAST(doc_id AS VARCHAR)) + 1),
+                       lambda i: CASE WHEN i = 0 THEN [4294967295::BIGINT] ELSE
+                           [ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+                       END
+                   )),
+                   lambda c, x: CASE
+                       WHEN x >= 0 THEN xor(c, x)
+                       WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT)
+                       ELSE c // 2 END
+               ),
+               4294967295::BIGINT
+           ) AS h
+    FROM documents
+),
+loops AS (
+    SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p
+    FROM (SELECT *, len(own) AS n FROM given)
+),
+words AS (
+    SELECT r, n, i, own[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+    FROM (SELECT *, unnest(range(0, n)) AS i FROM loops)
+),
+grams AS (
+    SELECT r, n, i,
+           w || ' ' || lead(w, 1) OVER t || ' ' || lead(w, 2) OVER t || ' ' || lead(w, 3) OVER t
+             || ' ' || lead(w, 4) OVER t AS gram
+    FROM words WINDOW t AS (PARTITION BY r ORDER BY i)
+),
+matches AS (
+    SELECT x.r, x.i, y.i - x.i AS q
+    FROM grams x JOIN grams y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i
+    WHERE 4 * (y.i - x.i) <= x.n
+),
+stretches AS (
+    SELECT r, q, min(i) AS start, count(*) + 4 + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM matches)
+    GROUP BY r, q, island
+),
+found AS (
+    SELECT r, start, length, min(q) AS period
+    FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length
+),
+summed AS (
+    SELECT r, count(*) AS n_runs,
+           min({'less': -length, 'start': start, 'period': period}) AS best,
+           string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs
+    FROM found GROUP BY r
+),
+gone AS (
+    SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM found
+),
+collapsed AS (
+    SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, -best.less AS length,
+       best.period AS period, CAST(-1000 * best.less // best.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM given LEFT JOIN summed USING (r) LEFT JOIN collapsed USING (r)
+"""
