@@ -34,6 +34,7 @@ from stationdays.schema import EVENT_FLAGS, RAW_COLUMNS, SENTINELS
 from stationdays.session import scratch_folder
 from stationdays.sources import (
     archive,
+    csv_ranges,
     ingest,
     manifest,
     report,
@@ -45,6 +46,7 @@ from stationdays.sources import (
 YEAR = 1998
 RESAMPLES = 200
 STATIONS_PER_BLOCK = 64
+RANGE_BYTES = 20_000
 SEED = 42
 RATE = 6.25
 
@@ -112,6 +114,20 @@ def csv_quoted_scan(spark, sf_dir):
     )
 
 
+@query
+def csv_ranges_scan(spark, sf_dir):
+    """Files read by ranges of some kilobytes, with line breaks inside their fields."""
+    folder = scratch_folder(spark, "ranges")
+    rows = order_text_rows(spark, sf_dir)
+    broken = rows.withColumn("NAME", F.concat("NAME", F.lit('\n"a" b,\r\n c')))
+    write_station_csv(broken.coalesce(2), folder, RAW_COLUMNS)
+    return ingest.to_observations(
+        csv_ranges.read_csv_by_ranges(
+            spark, folder, year_pattern=r"year=(\d{4})/", range_bytes=RANGE_BYTES
+        )
+    )
+
+
 @query
 def csv_header_binding(spark, sf_dir):
     """Files with two column orders, one of them without two of the columns."""

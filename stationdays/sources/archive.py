@@ -141,8 +141,12 @@ def member_records(stream: io.TextIOBase, columns: list[str]) -> Iterator[tuple]
     """
     lines = without_mark(stream)
     header = header_names(lines)
-    if header is None:
-        return
+    if header is not None:
+        yield from body_records(lines, header, columns)
+
+
+def body_records(lines: Iterable[str], header: list[str], columns: list[str]) -> Iterator[tuple]:
+    """The same of what follows the header."""
     records = csv.reader(lines)
     position = {name: i for i, name in enumerate(header)}
     absent = len(header)
@@ -188,9 +192,16 @@ def regular_table(content: bytes, columns: list[str]) -> pa.Table | None:
     readers have the same header and the same place for every name.
     """
     names, start = header_and_rest(content)
+    return None if names is None else body_table(content, start, names, columns)
+
+
+def body_table(
+    content: bytes, start: int, names: list[str], columns: list[str]
+) -> pa.Table | None:
+    """The same of the bytes from a place on, for a header read before."""
     # Arrow would take a byte order mark there for none of the file's text
     odd = content.startswith(BYTE_ORDER_MARK, start) or ODD_LINE_ENDS.search(content, start)
-    if names is None or odd or content.endswith(b'"'):
+    if odd or content.endswith(b'"'):
         return None
     position = {name: str(i) for i, name in enumerate(names)}
     found = [c for c in columns if c in position]

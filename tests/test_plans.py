@@ -20,7 +20,7 @@ from stationdays.sources import archive, files, ingest, warehouse
 SMALL = "/root/testdata/sf0.001"
 # these hand rows to Python on purpose: files Spark cannot read, draws, or to compare
 PYTHON = {"archive_roundtrip", "archive_odd_headers", "archive_odd_records",
-          "archives_of_some_years", "csv_quoted_scan", "csv_header_binding", "bootstrap_ci_blocks",
+          "archives_of_some_years", "csv_ranges_scan", "csv_quoted_scan", "csv_header_binding", "bootstrap_ci_blocks",
           "bootstrap_block_invariants", "nation_file_manifest",
           "pushdown_arms_agree", "column_scan_cost", "file_manifest"}
 
