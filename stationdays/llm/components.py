@@ -38,13 +38,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(
             small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
             .unionByName(least.select("a", F.col("least").alias("b")))
-            .distinct()
+            .distinct(),
+            edges, large,
         )
         after = _state(edges)
         if after == before:
             break
         before = after
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))
+    return cut_lineage(
+        edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            roots.select("node", F.col("node").alias("component"))
+        ),
+        edges,
     )

@@ -16,9 +16,11 @@ leaves it a partner; regions that stay large are divided again.
    Two others can be linked only if their distances to the pivot differ by at most t:
    the ball of radius 2 t around a pivot is joined on its own, window by window; what lies
    beyond, with the border between t and 2 t, is the region of the next round.
-4. Regions that are small after a round are joined pair by pair, and so are, block by block,
-   those that are still large after ROUNDS rounds. Pairs whose shapes, images of sets in a
-   space of few counts, are further apart than a link allows are never looked at closely.
+4. Regions that are small after a round are joined within themselves, and large ones are
+   divided again as long as that makes them smaller; what never comes near a pivot is
+   joined block by block. In all of this a pair is looked at closely only if the sizes
+   of its sets and their images in spaces of few counts allow a link: a sketch of 32
+   counts travels with the members, so that other pairs are never rows of a table.
 
 Links within the class that is already known are not looked for; all links between
 classes are. The classes are then merged along all links found.
@@ -31,7 +33,9 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,17 +46,20 @@ from pyspark.sql import functions as F
 from stationdays.llm.components import components
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import find_words, mix, runs, window_hashes, windows_of, word_hashes
-from stationdays.llm.kept import cut_lineage
+from stationdays.llm.kept import cut_lineage, forget
 
 WIDTH = 5
 PERCENT = 80
 
 SKETCH_BITS = 20
+COUNT_PARTS = 16
 SMALL_REGION = 64
 """Regions of up to so many members are joined pair by pair after the first round."""
-ROUNDS = 2
-"""Times that large regions are divided by pivots; what is left after that are texts far
-from one another and from every pivot, which are compared block by block."""
+LEAST_PROGRESS = 0.75
+"""Large regions are divided again if the last time left at most this share of their rows;
+what is left else are texts far from one another and from every pivot."""
+FEATURE_BITS = 5
+"""A sketch counts shingles for each value of so many leading bits."""
 BLOCK_SHINGLES = 400_000
 """Balls with more shingles than this in all are joined in blocks of about so many."""
 
@@ -108,17 +115,45 @@ def shingle_counts(documents: DataFrame) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in batch.column("counts").to_pylist():
-                total += np.frombuffer(part, "<u4")
+            for one in batch.column("counts").to_pylist():
+                total += np.frombuffer(one, "<u4")
+        total = np.minimum(total, np.iinfo(np.uint32).max)
         yield pa.RecordBatch.from_pydict({"counts": [total.astype("<u4").tobytes()]})
 
-    # as many tasks sum up the tables of all tasks as the root of their number
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in summed(batches):
+            whole = batch.column("counts").to_pylist()[0]
+            size = len(whole) // COUNT_PARTS
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": list(range(COUNT_PARTS)),
+                    "counts": [whole[i * size : (i + 1) * size] for i in range(COUNT_PARTS)],
+                }
+            )
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "counts"))):
+                one = np.frombuffer(counts, "<u4").astype(np.int64)
+                totals[part] = totals[part] + one if part in totals else one
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "counts": [total.astype("<u8").tobytes()]}
+            )
+
+    # the tables of all tasks are summed up by the root of their number of tasks, then part
+    # by part; the driver gets one table
     parts = documents.select("text").mapInArrow(counted, "counts binary")
-    found = parts.repartition(8).mapInArrow(summed, "counts binary").collect()
-    return sum(
-        (np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in found),
-        np.zeros(1 << SKETCH_BITS, np.int64),
+    some = parts.repartition(max(8, math.isqrt(documents.rdd.getNumPartitions())))
+    found = (
+        some.mapInArrow(cut, "part long, counts binary")
+        .repartition(COUNT_PARTS, "part")
+        .mapInArrow(joined, "part long, counts binary")
+        .orderBy("part")
+        .collect()
     )
+    return np.concatenate([np.frombuffer(r["counts"], "<u8") for r in found]).astype(np.int64)
 
 
 def rarity_levels(counts: np.ndarray) -> np.ndarray:
@@ -153,6 +188,12 @@ def shape_of(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The same for a fixed number of values."""
+    leading = (shingles >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    return np.bincount(leading, minlength=1 << FEATURE_BITS).astype(np.int32)
+
+
 def shape_difference(a: bytes, b: bytes) -> int:
     x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
     while len(x) > len(y):
@@ -163,7 +204,7 @@ def shape_difference(a: bytes, b: bytes) -> int:
 
 
 def node_rows(documents: DataFrame, levels: np.ndarray) -> DataFrame:
-    """document, doc_id, node, n, first shingles and shape of each row of documents.
+    """document, doc_id, node, n, first shingles, shape and sketch of each row of documents.
 
     `document` tells rows apart that differ in id or text.
     """
@@ -184,14 +225,21 @@ def node_rows(documents: DataFrame, levels: np.ndarray) -> DataFrame:
                             pa.binary(),
                         ),
                         pa.array([shape_of(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array(
+                            [sketch_of(s) if len(s) else None for s in sets], pa.list_(pa.int32())
+                        ),
                     ],
-                    ["document", "doc_id", "node", "n", "first", "shape"],
+                    ["document", "doc_id", "node", "n", "first", "shape", "sketch"],
                 )
 
     return documents.select(
         F.xxhash64(F.col("doc_id").cast("long"), "text").alias("document"),
         F.col("doc_id").cast("long"), "text",
-    ).mapInArrow(rows, "document long, doc_id long, node long, n long, first binary, shape binary")
+    ).mapInArrow(
+        rows,
+        "document long, doc_id long, node long, n long, first binary, shape binary,"
+        " sketch array<int>",
+    )
 
 
 def memberships(nodes: DataFrame) -> DataFrame:
@@ -405,19 +453,25 @@ def ball_links(balls: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     return meetings.groupBy("pivot", "i", "j").applyInPandas(join, "a long, b long")
 
 
-def region_pairs(member: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Different pairs of members of small regions whose sizes allow a link."""
-    listed = member.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
-    pairs = listed.select(F.posexplode("all").alias("at", "x"), "all").select(
-        "x", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("y")
-    )
-    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (
-        pairs.where(100 * low >= percent * high)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .where("a <> b")
-        .distinct()
+def region_pairs(member: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Different pairs of members of small regions whose sizes and sketches allow a link.
+
+    A region is one row with its members by size; only pairs that pass become rows.
+    """
+    listed = (
+        member.join(sketches, "node")
+        .groupBy("region")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "node", "sketch"))).alias("all"))
     )
+    pairs = F.expr(f"""
+        flatten(transform(all, (x, i) -> transform(
+            filter(slice(all, i + 2, size(all)), y ->
+                100 * x.n >= {percent} * y.n
+                AND {100 + percent} * aggregate(
+                    zip_with(x.sketch, y.sketch, (p, q) -> abs(p - q)), 0, (total, d) -> total + d
+                ) <= {100 - percent} * (x.n + y.n)),
+            y -> struct(least(x.node, y.node) AS a, greatest(x.node, y.node) AS b))))""")
+    return listed.select(F.explode(pairs).alias("pair")).select("pair.*").where("a <> b").distinct()
 
 
 def block_pairs(placed: DataFrame, shapes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -474,18 +528,19 @@ def block_pairs(placed: DataFrame, shapes: DataFrame, percent: int = PERCENT) ->
     ).distinct()
 
 
-def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between nodes that join the same nodes together as all links would."""
+def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """Tables a, b of links between nodes that join the same nodes together as all links would."""
     wide = 2 * percent - 100
     kept = nodes.where("node IS NOT NULL")
-    single = kept.groupBy("node", "n").agg(
-        F.first("first").alias("first"), F.first("shape").alias("shape")
+    single = cut_lineage(
+        kept.groupBy("node", "n").agg(
+            *[F.first(c).alias(c) for c in ("first", "shape", "sketch")]
+        )
     )
-    single = cut_lineage(single)
-    shapes = single.select("node", "n", "shape")
+    shapes, sketches = single.select("node", "n", "shape"), single.select("node", "sketch")
     member = cut_lineage(memberships(single.select("node", "n", "first")))
-    found: DataFrame | None = None
-    for _ in range(ROUNDS):
+    left, found = member.count(), []
+    while left:
         placed = cut_lineage(with_pivots(member))
         pairs = (
             placed.where("node <> pivot")
@@ -495,13 +550,13 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
         # what isn't near by sizes and shapes is beyond twice the limit
         pairs = cut_lineage(near_pairs(pairs, shapes, wide))
         sets = cut_lineage(set_rows(documents, kept, pairs))
-        measured = cut_lineage(pair_distances(pairs, sets))
+        measured = cut_lineage(pair_distances(pairs, sets), pairs)
         stars = measured.where(_within(percent)).select("a", "b")
         # twice the limit: beyond it no member can be linked to one within the limit
         ball = measured.where(_within(wide))
         ball = ball.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "common", "either")
         ball = ball.join(single.select("node", "n"), "node")
-        round_links = cut_lineage(stars.unionByName(ball_links(ball, sets, percent)))
+        found.append(cut_lineage(stars.unionByName(ball_links(ball, sets, percent)), sets))
         far = placed.where("node <> pivot").join(
             measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", "either"),
             ["node", "pivot"], "left",
@@ -512,20 +567,35 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
         open_regions = rest.groupBy("region").agg(
             F.max("beyond").alias("any_beyond"), F.count("*").alias("left")
         ).where("any_beyond AND left > 1")
-        rest = cut_lineage(rest.join(open_regions, "region").select("region", "node", "n", "left"))
-        small = rest.where(F.col("left") <= SMALL_REGION)
-        close = cut_lineage(near_pairs(region_pairs(small, percent), shapes, percent))
-        sets = set_rows(documents, kept, close)
-        close = pair_distances(close, sets).where(_within(percent)).select("a", "b")
-        round_links = cut_lineage(round_links.unionByName(close))
-        found = round_links if found is None else found.unionByName(round_links)
-        member = cut_lineage(rest.where(F.col("left") > SMALL_REGION).select("region", "node", "n"))
-        if member.isEmpty():
-            return found
-    close = cut_lineage(block_pairs(with_pivots(member), shapes, percent))
-    sets = set_rows(documents, kept, close)
-    last = pair_distances(close, sets).where(_within(percent)).select("a", "b")
-    return found.unionByName(last)
+        rest = cut_lineage(
+            rest.join(open_regions, "region").select("region", "node", "n", "left"),
+            placed, measured, member,
+        )
+        small = rest.where(F.col("left") <= SMALL_REGION).select("region", "node", "n")
+        found.append(
+            _close_links(documents, kept, shapes, region_pairs(small, sketches, percent), percent)
+        )
+        member = cut_lineage(
+            rest.where(F.col("left") > SMALL_REGION).select("region", "node", "n"), rest
+        )
+        before, left = left, member.count()
+        if left > LEAST_PROGRESS * before:
+            blocks = block_pairs(with_pivots(member), shapes, percent)
+            found.append(_close_links(documents, kept, shapes, blocks, percent))
+            break
+    forget(member, single)
+    return found
+
+
+def _close_links(
+    documents: DataFrame, nodes: DataFrame, shapes: DataFrame, pairs: DataFrame, percent: int
+) -> DataFrame:
+    """The pairs that are links, by their whole sets."""
+    close = cut_lineage(near_pairs(pairs, shapes, percent))
+    sets = set_rows(documents, nodes, close)
+    return cut_lineage(
+        pair_distances(close, sets).where(_within(percent)).select("a", "b"), close
+    )
 
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:
@@ -534,16 +604,24 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text")
     levels = rarity_levels(shingle_counts(rows))
     nodes = cut_lineage(node_rows(rows, levels))
-    joined = components(links(rows, nodes))
-    return nodes.join(joined, "node", "left").select(
-        "document", "doc_id", F.col("n").alias("n_shingles"), "node",
-        F.coalesce("component", "node").alias("component"),
+    found = links(rows, nodes)
+    joined = components(reduce(DataFrame.unionByName, found) if found else no_links(nodes))
+    return cut_lineage(
+        nodes.join(joined, "node", "left").select(
+            "document", "doc_id", F.col("n").alias("n_shingles"), "node",
+            F.coalesce("component", "node").alias("component"),
+        ),
+        nodes, joined, *found,
     )
 
 
+def no_links(nodes: DataFrame) -> DataFrame:
+    return nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    classes = cut_lineage(jaccard_classes(documents))
+    classes = jaccard_classes(documents)
     smallest = (
         classes.where("component IS NOT NULL")
         .groupBy("component").agg(F.min("doc_id").alias("smallest"))
@@ -559,7 +637,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Documents without words all stay, but of rows that are equal in id and text one stays.
     A class without any doc_id keeps one of its texts.
     """
-    classes = cut_lineage(jaccard_classes(documents))
+    classes = jaccard_classes(documents)
     linked = classes.where("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "document")).alias("first")
     )

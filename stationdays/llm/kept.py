@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 from stationdays.session import scratch_folder
 
@@ -25,14 +27,24 @@ def cut_lineage(frame: DataFrame, *done: DataFrame) -> DataFrame:
 def forget(*frames: DataFrame | None) -> None:
     """Removes tables that `cut_lineage` wrote and nothing reads any more.
 
-    What else is given is left alone. Files of shuffles that led to them are removed by
-    Spark when the driver's collector next finds their plans unused.
+    What else is given is left alone. Spark removes the files of shuffles once the driver's
+    collectors find that no plan needs them, so these are asked to look.
     """
+    spark = None
     for frame in frames:
         folder = getattr(frame, "_kept_folder", None)
         if folder is not None:
+            spark = frame.sparkSession
             jvm = frame.sparkSession._jvm
             path = jvm.org.apache.hadoop.fs.Path(folder)
             configuration = frame.sparkSession._jsparkSession.sessionState().newHadoopConf()
             path.getFileSystem(configuration).delete(path, True)
             frame._kept_folder = None
+    if spark is not None:
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the files of shuffles removed that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
