@@ -1,10 +1,13 @@
 """Packing token pieces into sequences of one length, by patterns fitted to a histogram.
 
-Lengths are counted in units, rounded up. Patterns of one to three lengths that fill a
-sequence get repeat counts by non-negative least squares against the histogram; counts are
-rounded, and what is left is packed best fit by lengths, also as counts. This works on a
-histogram of at most sequence / unit entries, however many pieces there are. Pieces are
-then numbered within their length, and the number says which sequence has the piece.
+Patterns of one to three lengths that fill a sequence get repeat counts by non-negative
+least squares against the histogram, with lengths rounded up to units, which keeps the
+patterns few; counts are rounded. Each pattern then takes pieces of such lengths, and what
+is left is packed best fit by true lengths, also into the room that is left in patterns;
+best fit alone is taken where it makes fewer sequences.
+All of this works on counts, on a histogram with an entry per length, however many
+pieces there are. Pieces are then numbered within their length, and the number says which
+sequence has the piece.
 
 A null text is an empty one, of the end id alone. Rows with one document id are packed as
 documents of their own. An empty table gives an empty result.
@@ -12,6 +15,8 @@ documents of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -78,56 +83,116 @@ def full_patterns(lengths: np.ndarray, whole: int) -> list[tuple[int, ...]]:
     return found
 
 
-def best_fit(counts: dict[int, int], whole: int) -> list[Pattern]:
-    """Longest lengths first, each where it leaves the least room; equal packs at once."""
+def best_fit(
+    counts: dict[int, int], whole: int, begun: list[Pattern] | None = None
+) -> list[Pattern]:
+    """Longest lengths first, each where it leaves the least room, also in packs that others
+    have begun; equal packs at once. All packs."""
     room: dict[int, list[Pattern]] = {}
+    gaps: list[int] = []
+
+    def put(gap: int, pattern: Pattern) -> None:
+        if gap not in room:
+            insort(gaps, gap)
+        room.setdefault(gap, []).append(pattern)
+
+    def take(gap: int) -> Pattern:
+        pattern = room[gap].pop()
+        if not room[gap]:
+            del room[gap]
+            gaps.remove(gap)
+        return pattern
+
+    for pattern in begun or []:
+        put(whole - sum(pattern.units), pattern)
     for units in sorted(counts, reverse=True):
         left = counts[units]
-        while left and (gaps := [g for g in room if g >= units and room[g]]):
-            gap = min(gaps)
-            pattern = room[gap].pop()
+        while left and (at := bisect_left(gaps, units)) < len(gaps):
+            gap = gaps[at]
+            pattern = take(gap)
             # as many of them into each pack as there is room for
             each = min(gap // units, left)
             taken = min(pattern.count, left // each)
-            room.setdefault(gap - each * units, []).append(
-                Pattern(pattern.units + (units,) * each, taken)
-            )
+            put(gap - each * units, Pattern(pattern.units + (units,) * each, taken))
             if taken < pattern.count:
-                room[gap].append(Pattern(pattern.units, pattern.count - taken))
+                put(gap, Pattern(pattern.units, pattern.count - taken))
             left -= taken * each
         each = whole // units
         for size, many in ((each, left // each), (left % each, 1)):
             if size and many:
-                room.setdefault(whole - size * units, []).append(Pattern((units,) * size, many))
+                put(whole - size * units, Pattern((units,) * size, many))
     return [p for patterns in room.values() for p in patterns]
 
 
-def fit_patterns(counts: dict[int, int], whole: int) -> list[Pattern]:
-    """Patterns that together hold every length exactly as often as it is there."""
+def fitted_patterns(counts: dict[int, int], whole: int) -> list[Pattern]:
+    """Full patterns with rounded counts, of no length more often than it is there."""
     left = {u: n for u, n in counts.items() if n}
-    if not left:
-        return []
     lengths = np.array(sorted(left))
     patterns = full_patterns(lengths, whole)
+    if not patterns:
+        return []
+    place = {u: i for i, u in enumerate(lengths.tolist())}
+    a = np.zeros((len(lengths), len(patterns)))
+    for j, pattern in enumerate(patterns):
+        for u in pattern:
+            a[place[u], j] += 1
+    b = np.array([left[u] for u in lengths.tolist()], float)
+    x = nonnegative_least_squares(a, b)
+    packed = []
+    for j in np.argsort(-x, kind="stable"):
+        need = Counter(patterns[j])
+        many = min(int(x[j] + 0.5), *(left[u] // n for u, n in need.items()))
+        if many > 0:
+            packed.append(Pattern(patterns[j], many))
+            for u, n in need.items():
+                left[u] -= n * many
+    return packed
+
+
+def with_true_lengths(
+    patterns: list[Pattern], counts: dict[int, int], unit: int
+) -> tuple[list[Pattern], dict[int, int]]:
+    """Patterns of units as patterns of lengths, the longest of a unit first, and how many
+    pieces of each length are left."""
+    waiting: dict[int, list[list[int]]] = {}
+    for length in sorted(counts):
+        if counts[length]:
+            waiting.setdefault(-(-length // unit), []).append([length, counts[length]])
     packed = []
-    if patterns:
-        place = {u: i for i, u in enumerate(lengths.tolist())}
-        a = np.zeros((len(lengths), len(patterns)))
-        for j, pattern in enumerate(patterns):
-            for u in pattern:
-                a[place[u], j] += 1
-        b = np.array([left[u] for u in lengths.tolist()], float)
-        x = nonnegative_least_squares(a, b)
-        for j in np.argsort(-x, kind="stable"):
-            need: dict[int, int] = {}
-            for u in patterns[j]:
-                need[u] = need.get(u, 0) + 1
-            many = min(int(x[j] + 0.5), *(left[u] // n for u, n in need.items()))
-            if many > 0:
-                packed.append(Pattern(patterns[j], many))
-                for u, n in need.items():
-                    left[u] -= n * many
-    return packed + best_fit({u: n for u, n in left.items() if n}, whole)
+    for pattern in patterns:
+        need, left = Counter(pattern.units), pattern.count
+        while left:
+            # as many packs as the pieces of one length make, or one of several lengths
+            many = min(left, *(max(1, waiting[u][-1][1] // n) for u, n in need.items()))
+            lengths: list[int] = []
+            for u, n in need.items():
+                wanted = n * many
+                while wanted:
+                    last = waiting[u][-1]
+                    taken = min(wanted, last[1])
+                    lengths += [last[0]] * (taken // many)
+                    last[1] -= taken
+                    wanted -= taken
+                    if not last[1]:
+                        waiting[u].pop()
+            packed.append(Pattern(tuple(lengths), many))
+            left -= many
+    return packed, {length: n for rest in waiting.values() for length, n in rest}
+
+
+def fit_patterns(counts: dict[int, int], whole: int, unit: int = 1) -> list[Pattern]:
+    """Patterns that together hold every length exactly as often as it is there.
+
+    Lengths a little above and below a unit's end may go together better than units can tell,
+    so if best fit alone makes fewer packs, these are taken.
+    """
+    by_unit: Counter[int] = Counter()
+    for length, n in counts.items():
+        by_unit[-(-length // unit)] += n
+    fitted = fitted_patterns(by_unit, whole // unit)
+    packed, left = with_true_lengths(fitted, counts, unit)
+    ways = best_fit(left, whole, packed), best_fit(counts, whole)
+    return min(ways, key=lambda packs: sum(p.count for p in packs))
 
 
 def slots_of(patterns: list[Pattern]) -> pd.DataFrame:
@@ -201,18 +266,16 @@ def pack_pieces(
     """
     spark = pieces.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = sequence // unit
-    units = F.ceil(F.col("length") / unit).cast("int")
     keys = [F.col(c) for c in order] or [F.col("length")]
     kept = cut_lineage(
-        pieces.withColumn("__units", units).withColumn(
+        pieces.withColumn("__units", F.col("length").cast("int")).withColumn(
             "__shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")
         )
     )
     counts = kept.groupBy("__units", "__shard").agg(F.count("*").alias("__n"))
-    # at most `whole` rows
+    # at most `sequence` rows
     total = counts.groupBy("__units").agg(F.sum("__n").alias("n")).collect()
-    slots = slots_of(fit_patterns({r["__units"]: r["n"] for r in total}, whole))
+    slots = slots_of(fit_patterns({r["__units"]: r["n"] for r in total}, sequence, unit))
     before = (
         Window.partitionBy("__units").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     )

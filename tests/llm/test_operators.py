@@ -122,6 +122,29 @@ def test_patterns_hold_every_length(counts):
     assert sum(p.count for p in packed) <= 2 * least + 1
 
 
+@given(st.dictionaries(st.integers(1, 200), st.integers(0, 60), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_patterns_of_units_hold_every_length(counts):
+    held = Counter()
+    for pattern in (packed := packing.fit_patterns(counts, 200, 8)):
+        assert sum(pattern.units) <= 200 and pattern.count > 0
+        for length in pattern.units:
+            held[length] += pattern.count
+    assert held == Counter({u: n for u, n in counts.items() if n})
+    alone = packing.best_fit(counts, 200)
+    assert sum(p.count for p in packed) <= sum(p.count for p in alone)
+
+
+def test_rests_are_packed_by_true_lengths():
+    def sequences(counts):
+        return sum(p.count for p in packing.fit_patterns(counts, 2048, 8))
+
+    assert sequences({2: 2048}) == 2
+    assert sequences({1025: 50, 1023: 50}) == 50
+    assert sequences({1: 2048 * 3 + 1}) == 4
+    assert sequences({2048: 7, 2041: 3, 7: 3}) == 10
+
+
 def test_packing(odd, empty):
     got = packing.pack_documents(odd).toPandas()
     pieces = packing.token_pieces(odd, keep_ids=True).collect()
@@ -313,10 +336,12 @@ def _near_copies(seed, groups=6, each=14):
     return rows
 
 
-@pytest.mark.parametrize("small_region, block, rounds", [(64, 400_000, 2), (2, 300, 2), (1, 500, 1)])
-def test_jaccard_classes_against_all_pairs(frame, monkeypatch, small_region, block, rounds):
+@pytest.mark.parametrize(
+    "small_region, block, progress", [(64, 400_000, 0.75), (8, 300, 0.95), (2, 300, 0.75), (1, 500, 0.0)]
+)
+def test_jaccard_classes_against_all_pairs(frame, monkeypatch, small_region, block, progress):
     monkeypatch.setattr(jaccard, "SMALL_REGION", small_region)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "LEAST_PROGRESS", progress)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     rows = _near_copies(1)
     got = jaccard.jaccard_components(frame(rows)).collect()
@@ -342,6 +367,7 @@ def test_shapes_never_differ_more_than_sets(seed):
     a, b = (np.sort(rng.choice(every, int(rng.integers(1, 250)), replace=False)) for _ in range(2))
     difference = len(np.setxor1d(a, b))
     assert jaccard.shape_difference(jaccard.shape_of(a), jaccard.shape_of(b)) <= difference
+    assert np.abs(jaccard.sketch_of(a) - jaccard.sketch_of(b)).sum() <= difference
 
 
 def test_components(spark):
@@ -481,3 +507,40 @@ def test_mixture(frame, odd, empty):
     assert again == dict(zip(got.doc_id, got.taken))
     assert mixing.mixture_digest(odd).count() == odd.count()
     assert mixing.mixture_digest(empty).count() == 0
+
+
+# ----------------------------------------------- texts that cancel out in a sum of powers
+
+
+def _cancelling(n=2048):
+    """Two texts that differ everywhere, with one hash for every odd base modulo 2**64."""
+    bits = np.array([bin(i).count("1") % 2 for i in range(n)])
+    return bytes(97 + bits).decode(), bytes(98 - bits).decode()
+
+
+def test_cancelling_words_are_told_apart():
+    a, b = _cancelling()
+    found = words.find_words([a.encode(), b.encode()])
+    assert len(set(words.word_hashes(found).tolist())) == 2
+    old = words.RangeHash(found.data)(found.starts, found.ends)
+    assert old[0] == old[1]
+    assert words.word_ids(found).tolist()[0] != words.word_ids(found).tolist()[1]
+
+
+def test_cancelling_texts_in_all_operators(spark, frame, vocabulary):
+    from tokenizers import Tokenizer
+
+    a, b = _cancelling()
+    whole = Tokenizer.from_file(vocabulary)
+    for some in ([a, b], [b, a]):
+        ids, starts = tokens.encoder(vocabulary)([t.encode() for t in some])
+        for i, text in enumerate(some):
+            expected = whole.encode(text, add_special_tokens=False).ids
+            assert ids[starts[i] : starts[i + 1]].tolist() == expected
+    (counted,) = rules.apply_rules(frame([(1, f"{a}\n{b}")]), list(rules.RULES)).collect()
+    assert counted.n_dup_lines == 0 and counted.n_repeat_words == 0
+    assert not (jaccard.shingle_sets([a.encode()])[0] == jaccard.shingle_sets([b.encode()])[0]).any()
+    rows = [(1, a), (2, b)]
+    got = repeats.repeat_digest(frame(rows)).collect()
+    expected = _without(rows, repeats.LEAST)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
