@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from stationdays.llm.components import components
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import find_words, mix, runs, window_hashes, windows_of, word_hashes
-from stationdays.llm.kept import cut_lineage, forget
+from stationdays.llm.kept import cut_lineage, forget, small_batches
 
 WIDTH = 5
 PERCENT = 80
@@ -58,6 +58,8 @@ SMALL_REGION = 64
 LEAST_PROGRESS = 0.75
 """Large regions are divided again if the last time left at most this share of their rows;
 what is left else are texts far from one another and from every pivot."""
+ROWS_AT_ONCE = 256
+"""Rows that Python gets in one batch."""
 FEATURE_BITS = 5
 """A sketch counts shingles for each value of so many leading bits."""
 BLOCK_SHINGLES = 400_000
@@ -602,10 +604,13 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     """document, doc_id, n_shingles and `node`, the class of equal sets, `component`, the
     class of linked sets; both null for documents without words."""
     rows = documents.select("doc_id", "text")
-    levels = rarity_levels(shingle_counts(rows))
-    nodes = cut_lineage(node_rows(rows, levels))
-    found = links(rows, nodes)
-    joined = components(reduce(DataFrame.unionByName, found) if found else no_links(nodes))
+    # a row may hold two sets of a long text each
+    with small_batches(documents.sparkSession, ROWS_AT_ONCE):
+        levels = rarity_levels(shingle_counts(rows))
+        nodes = cut_lineage(node_rows(rows, levels))
+        found = links(rows, nodes)
+        every = reduce(DataFrame.unionByName, found) if found else no_links(nodes)
+        joined = components(every)
     return cut_lineage(
         nodes.join(joined, "node", "left").select(
             "document", "doc_id", F.col("n").alias("n_shingles"), "node",

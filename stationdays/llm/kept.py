@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stationdays.session import scratch_folder
 
+BATCH_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def cut_lineage(frame: DataFrame, *done: DataFrame) -> DataFrame:
     """Computes a table once, writes it, and goes on from what was written.
@@ -44,6 +48,18 @@ def forget(*frames: DataFrame | None) -> None:
         release_shuffles(spark)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, records: int) -> Iterator[None]:
+    """Hands rows to Python so many at a time, for jobs whose rows may be large: a batch is
+    held whole on either side."""
+    before = spark.conf.get(BATCH_RECORDS)
+    spark.conf.set(BATCH_RECORDS, str(min(records, int(before)) if int(before) > 0 else records))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_RECORDS, before)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Has the files of shuffles removed that nothing refers to any more."""
     gc.collect()
