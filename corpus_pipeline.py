@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from stationdays.checks.tables import table  # noqa: E402
 from stationdays.llm import classifier, jaccard, let_tasks_import, lines, mixing, packing  # noqa: E402
+from stationdays.llm.kept import release_shuffles  # noqa: E402
 from stationdays.session import scratch_folder  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,17 +42,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
     let_tasks_import(spark)
+    # the stages before are written; their shuffles would lie about until a collection
+    release_shuffles(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture of sources takes it."""
+    release_shuffles(spark)
     return mixing.copied(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of one length."""
     let_tasks_import(spark)
+    release_shuffles(spark)
     return packing.pack_documents(docs)
 
 

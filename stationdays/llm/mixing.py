@@ -222,7 +222,8 @@ def mix_sources(
     rated = cut_lineage(
         rated.withColumn("base", whole.cast("long")).withColumn(
             "turn", F.floor(later * (BUCKETS * BUCKETS)).cast("long")
-        )
+        ),
+        rows,
     )
     more = rated.where((F.col("base") < most_copies) & (F.col("size") > 0))
     need = rated.groupBy("source").agg(
@@ -235,7 +236,8 @@ def mix_sources(
         joined.select(
             "__id", "source", "size", "source_size", "target", "rate",
             (F.col("base") + F.when(extra, 1).otherwise(0)).alias("copies"),
-        )
+        ),
+        rated, targets,
     )
     return _settled(rounded, most_copies).withColumnRenamed("__id", id)
 
