@@ -35,6 +35,10 @@ concat(CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END,
 """
 
 ROWS_PER_ARCHIVE = 200_000
+"""About so many rows of all years make the archives of one part."""
+TASKS_PER_PART = 8
+MOST_TASKS = 200
+"""Up to so many, tasks hand rows on without holding them (spark.shuffle.sort.bypassMergeThreshold)."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,16 +116,23 @@ def write_archives(rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PE
     whatever the years' and stations' sizes are.
     """
     columns = [c for c in rows.columns if c != "year"]
-    parts = max(1, -(-rows.count() // rows_per_archive))
 
     def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
         days = records.sort_values("STATION")[columns].itertuples(index=False, name=None)
         for station, lines in groupby(days, key=itemgetter(columns.index("STATION"))):
             yield f"{station}.csv", csv_bytes(columns, lines)
 
-    deal_archives(
-        rows.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts))), folder, members
-    )
+    deal_archives(in_parts(rows, rows_per_archive), folder, members)
+
+
+def in_parts(rows: DataFrame, rows_per_part: int) -> DataFrame:
+    """Rows with the number `_part` of one of as many parts as keep each at about the size,
+    dealt to tasks by part and year."""
+    columns = [c for c in rows.columns if c != "year"]
+    parts = max(1, -(-rows.count() // rows_per_part))
+    placed = rows.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    # by a number of its own: work on them is more than their bytes tell
+    return placed.repartition(min(TASKS_PER_PART * parts, MOST_TASKS), "_part", "year")
 
 
 def csv_bytes(header: list[str], records: Iterable[tuple], line_end: str = "\r\n") -> bytes:
@@ -143,7 +154,7 @@ def deal_archives(
         if isinstance(filesystem, pafs.LocalFileSystem):
             filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with filesystem.open_output_stream(path, compression=None) as sink, tarfile.open(
-            fileobj=sink, mode="w|gz"
+            fileobj=sink, mode="w|gz", compresslevel=6
         ) as archive:
             for name, content in members(records):
                 member = tarfile.TarInfo(name)
@@ -211,23 +222,26 @@ def odd_record(number: int, columns: list[str], record: tuple) -> bytes:
     return line
 
 
-def write_archives_with_odd_records(rows: DataFrame, folder: str) -> None:
+def write_archives_with_odd_records(
+    rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PER_ARCHIVE
+) -> None:
     """Archives of a year other than their rows', with odd records and with members that are
-    no CSV files. The key of an order, column `number`, says how odd its record is."""
+    no CSV files. The key of an order, column `number`, says how odd its record is. Parts of
+    rows are dealt as by `write_archives`; rows without a station have no member."""
     columns = [c for c in rows.columns if c not in ("year", "number")]
+    header = csv_bytes(columns, [])
 
     def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
-        days = records.sort_values(["STATION", "number"])
-        for station, some in days.groupby("STATION"):
-            lines = some[columns].itertuples(index=False, name=None)
-            body = b"".join(odd_record(n, columns, r) for n, r in zip(some["number"], lines))
-            content = csv_bytes(columns, []) + body
+        days = records[records["STATION"].notna()].sort_values(["STATION", "number"])
+        numbered = days[["number", *columns]].itertuples(index=False, name=None)
+        for station, some in groupby(numbered, key=itemgetter(1 + columns.index("STATION"))):
+            content = header + b"".join(odd_record(r[0], columns, r[1:]) for r in some)
             yield f"{station}.csv", content
             if int(station) % 7 == 0:
                 yield f"{station}.txt", content
                 yield f"{station}.csv.bak", content
 
-    deal_archives(rows.withColumn("_part", F.lit(0)), folder, members)
+    deal_archives(in_parts(rows, rows_per_archive), folder, members)
 
 
 ship_by_value(__name__)
