@@ -6,6 +6,8 @@ The statements another engine can run for the same answers are in `oracle.py`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from stationdays.functions import (
 )
 from stationdays.operators import bootstrap, distinct, panel, pushdown, questions, reconcile, scancost
 from stationdays.schema import EVENT_FLAGS, RAW_COLUMNS, SENTINELS
-from stationdays.session import scratch_folder
+from stationdays.session import cut_lineage, scratch_folder
 from stationdays.sources import (
     archive,
     csv_ranges,
@@ -625,8 +627,16 @@ def column_scan_cost(spark, sf_dir):
 
 @query
 def scan_cost_arithmetic(spark, sf_dir):
-    """Return flags stand for columns, sums of order keys for their bytes."""
+    """Return flags stand for columns, sums of order keys for their bytes: whole numbers of
+    SQL's type if all of them fit, else decimals."""
+    # keys are summed exactly: a long holds neither their sums at any size nor these bytes
+    size = F.sum(F.col("l_orderkey").cast("decimal(20,0)")) * 100_000
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("column")).agg(
-        (F.sum("l_orderkey") * 100_000).cast("long").alias("uncompressed")
+        size.cast("decimal(28,0)").alias("uncompressed")
     )
-    return scancost.column_scan_cost(sizes, ["A", "N"], RATE)
+    cost = cut_lineage(scancost.column_scan_cost(sizes, ["A", "N"], RATE))
+    counts = [c for c, kind in cost.dtypes if kind.startswith("decimal")]
+    too_large = [F.col(c).isNotNull() & F.col(c).try_cast("long").isNull() for c in counts]
+    if not cost.where(reduce(or_, too_large)).isEmpty():
+        return cost
+    return cost.withColumns({c: F.col(c).cast("long") for c in counts})

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
-from stationdays.checks import tables
+from stationdays.checks import queries, tables
 from stationdays.sources import archive
 
 ROWS, AT_ONCE = 600, 100
@@ -52,3 +53,16 @@ def test_rows_without_a_station_have_no_member(spark, orders):
     some = rows.selectExpr("* EXCEPT (STATION)", "nullif(STATION, lpad('1', 11, '0')) AS STATION")
     tables.write_archives_with_odd_records(some, f"{orders}/records", AT_ONCE)
     assert sum(archived(spark, f"{orders}/records")[0].values()) == ROWS - 6
+
+
+@pytest.mark.parametrize("key, kind", [(7, "bigint"), (2**62, "decimal(38,0)")])
+def test_scan_cost_beyond_longs(spark, tmp_path, key, kind):
+    spark.createDataFrame(
+        [(key, "A"), (key, "A"), (key - 1, "R")], "l_orderkey long, l_returnflag string"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    result = queries.scan_cost_arithmetic(spark, str(tmp_path))
+    assert dict(result.dtypes)["all_columns_bytes"] == kind
+    row = result.first()
+    assert Decimal(row["all_columns_bytes"]) == (3 * key - 1) * 100_000
+    assert Decimal(row["named_columns_bytes"]) == 2 * key * 100_000
+    assert Decimal(row["bytes_saved"]) == (key - 1) * 100_000
