@@ -191,9 +191,12 @@ def odd_header_member(layout: int, columns: list[str], records: list[tuple]) ->
     return before[layout] + csv_bytes(header, records, "\n" if layout % 2 else "\r\n")
 
 
-def write_odd_archives(rows: DataFrame, folder: str) -> None:
+def write_odd_archives(
+    rows: DataFrame, folder: str, rows_per_archive: int = ROWS_PER_ARCHIVE
+) -> None:
     """Archives of members with all odd headers, each in members of one and of many stations,
-    so that every header comes in members of a few lines and of many."""
+    so that every header comes in members of a few lines and of many. Parts of rows are dealt
+    as by `write_archives`."""
     columns = [c for c in rows.columns if c != "year"]
 
     def members(records: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
@@ -208,7 +211,7 @@ def write_odd_archives(rows: DataFrame, folder: str) -> None:
                     member = odd_header_member(int(number), columns, lines[at : at + step])
                     yield f"{name}/{number}-{at}.csv", member
 
-    deal_archives(rows.withColumn("_part", F.lit(0)), folder, members)
+    deal_archives(in_parts(rows, rows_per_archive), folder, members)
 
 
 def odd_record(number: int, columns: list[str], record: tuple) -> bytes:

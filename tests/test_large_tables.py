@@ -40,6 +40,14 @@ def archived(spark, folder: str) -> tuple[Counter, list[int]]:
     return found, each
 
 
+def test_odd_archives_are_of_bounded_size(spark, orders):
+    rows = tables.order_text_rows(spark, orders)
+    tables.write_odd_archives(rows, f"{orders}/headers", AT_ONCE)
+    found, each = archived(spark, f"{orders}/headers")
+    assert found == Counter((r["STATION"], r["DATE"], r["year"]) for r in rows.collect())
+    assert sum(each) == ROWS and max(each) <= AT_ONCE
+
+
 def test_archives_with_odd_records_are_of_bounded_size(spark, orders):
     rows = tables.order_text_rows(spark, orders, "o_orderkey AS number")
     tables.write_archives_with_odd_records(rows, f"{orders}/records", AT_ONCE)
