@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationdays.checks.tables import (
+    ROWS_PER_ARCHIVE,
+    in_parts,
     order_observations,
     order_text_rows,
     raw_orders,
@@ -122,7 +124,7 @@ def csv_ranges_scan(spark, sf_dir):
     folder = scratch_folder(spark, "ranges")
     rows = order_text_rows(spark, sf_dir)
     broken = rows.withColumn("NAME", F.concat("NAME", F.lit('\n"a" b,\r\n c')))
-    write_station_csv(broken.coalesce(2), folder, RAW_COLUMNS)
+    write_station_csv(in_parts(broken, ROWS_PER_ARCHIVE), folder, RAW_COLUMNS)
     return ingest.to_observations(
         csv_ranges.read_csv_by_ranges(
             spark, folder, year_pattern=r"year=(\d{4})/", range_bytes=RANGE_BYTES

@@ -63,6 +63,15 @@ def test_rows_without_a_station_have_no_member(spark, orders):
     assert sum(archived(spark, f"{orders}/records")[0].values()) == ROWS - 6
 
 
+def test_files_of_ranges_grow_in_number(spark, orders, monkeypatch):
+    folder = Path(orders) / "csv"
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark, purpose: str(folder))
+    monkeypatch.setattr(queries, "ROWS_PER_ARCHIVE", AT_ONCE, raising=False)
+    assert queries.csv_ranges_scan(spark, orders).count() == ROWS
+    # at the most as many rows in a task as a part has
+    assert len(list(folder.glob("year=1996/*.csv"))) > 2
+
+
 @pytest.mark.parametrize("key, kind", [(7, "bigint"), (2**62, "decimal(38,0)")])
 def test_scan_cost_beyond_longs(spark, tmp_path, key, kind):
     spark.createDataFrame(
