@@ -26,6 +26,7 @@ from stationdays.llm import measures
 from stationdays.llm.measures import Texts
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import runs
+from stationdays.llm.workers import thrifty
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -231,7 +232,7 @@ def training_rows(
     found = documents.select(F.col("doc_id").cast("long"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id")
     )
-    return found.select("text", "__y").mapInArrow(measured, "x array<double>, y int")
+    return found.select("text", "__y").mapInArrow(thrifty(measured), "x array<double>, y int")
 
 
 def train(
@@ -261,7 +262,7 @@ def score_documents(documents: DataFrame, model: Model, score: str = "score") ->
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(scored, schema + f", `{score}` double")
+    return documents.mapInArrow(thrifty(scored), schema + f", `{score}` double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from stationdays.llm.components import components
 from stationdays.llm.tokens import utf8
 from stationdays.llm.words import find_words, mix, runs, window_hashes, windows_of, word_hashes
+from stationdays.llm.workers import thrifty
 from stationdays.llm.kept import cut_lineage, forget, small_batches
 
 WIDTH = 5
@@ -146,12 +147,12 @@ def shingle_counts(documents: DataFrame) -> np.ndarray:
 
     # the tables of all tasks are summed up by the root of their number of tasks, then part
     # by part; the driver gets one table
-    parts = documents.select("text").mapInArrow(counted, "counts binary")
+    parts = documents.select("text").mapInArrow(thrifty(counted), "counts binary")
     some = parts.repartition(max(8, math.isqrt(documents.rdd.getNumPartitions())))
     found = (
-        some.mapInArrow(cut, "part long, counts binary")
+        some.mapInArrow(thrifty(cut), "part long, counts binary")
         .repartition(COUNT_PARTS, "part")
-        .mapInArrow(joined, "part long, counts binary")
+        .mapInArrow(thrifty(joined), "part long, counts binary")
         .orderBy("part")
         .collect()
     )
@@ -238,7 +239,7 @@ def node_rows(documents: DataFrame, levels: np.ndarray) -> DataFrame:
         F.xxhash64(F.col("doc_id").cast("long"), "text").alias("document"),
         F.col("doc_id").cast("long"), "text",
     ).mapInArrow(
-        rows,
+        thrifty(rows),
         "document long, doc_id long, node long, n long, first binary, shape binary,"
         " sketch array<int>",
     )
@@ -263,7 +264,7 @@ def memberships(nodes: DataFrame) -> DataFrame:
                 ["region", "node", "n"],
             )
 
-    every = nodes.mapInArrow(rows, "region long, node long, n long")
+    every = nodes.mapInArrow(thrifty(rows), "region long, node long, n long")
     shared = every.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
     return every.join(shared.select("region"), "region", "left_semi")
 
@@ -301,7 +302,7 @@ def set_rows(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFr
         F.xxhash64(F.col("doc_id").cast("long"), "text").alias("document"), "text"
     ).join(chosen, F.col("document") == F.col("of"), "left_semi")
     return (
-        texts.select("text").mapInArrow(rows, "node long, shingles binary")
+        texts.select("text").mapInArrow(thrifty(rows), "node long, shingles binary")
         .groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
 
@@ -332,7 +333,7 @@ def near_pairs(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
     )
     sized = pairs.join(next(sides), "a").join(next(sides), "b")
     sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(rows, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(thrifty(rows), "a long, b long")
 
 
 def with_pivots(member: DataFrame) -> DataFrame:
@@ -379,7 +380,7 @@ def pair_distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return (
         pairs.join(first, "a").join(second, "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(rows, "a long, b long, common long, either long")
+        .mapInArrow(thrifty(rows), "a long, b long, common long, either long")
     )
 
 

@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationdays.llm.tokens import crc32, encode_batch
-from stationdays.llm.kept import cut_lineage
+from stationdays.llm.kept import cut_lineage, small_batches
+from stationdays.llm.workers import thrifty
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 SEQUENCE = 2048
 UNIT = 8
+ROWS_AT_ONCE = 2048
+"""Rows whose texts Python gets in one batch."""
 
 
 class Pattern(NamedTuple):
@@ -251,7 +254,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * keep_ids)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        rows, fields + ", ids array<int>" * keep_ids
+        thrifty(rows, encodes=True), fields + ", ids array<int>" * keep_ids
     )
 
 
@@ -311,7 +314,7 @@ def pack_pieces(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     placed = numbered.select(
         *names, "__units", F.col("__number").cast("long").alias("__number")
-    ).mapInArrow(place, schema + ", sequence_id long, __slot long")
+    ).mapInArrow(thrifty(place, encodes=True), schema + ", sequence_id long, __slot long")
     earlier = (
         Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -323,4 +326,6 @@ def pack_documents(
     documents: DataFrame, vocabulary: str = VOCABULARY, keep_ids: bool = False
 ) -> DataFrame:
     pieces = token_pieces(documents, vocabulary, keep_ids=keep_ids)
-    return pack_pieces(pieces, order=("doc_id", "piece", "length", "ids_crc32"))
+    # the texts are read while the pieces are written
+    with small_batches(documents.sparkSession, ROWS_AT_ONCE):
+        return pack_pieces(pieces, order=("doc_id", "piece", "length", "ids_crc32"))

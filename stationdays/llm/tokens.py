@@ -175,6 +175,11 @@ def encoder(vocabulary: str) -> PieceEncoder:
     return _encoders[vocabulary]
 
 
+def forget_encoders() -> None:
+    """Drops all that this worker remembers of pieces; the next task to ask starts afresh."""
+    _encoders.clear()
+
+
 def vocabulary_place(name: str) -> str:
     """Place of a public vocabulary on the machine that asks."""
     import public_tokenizers
